@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing
+from quire.llm import decontaminate, language_id, mixing
 
 
 def queries() -> dict:
-    return {"op7_mixing": mixing.op7_mixing}
+    return {
+        "op3_language_id": language_id.op3_language_id,
+        "op7_mixing": mixing.op7_mixing,
+        "op10_decontamination": decontaminate.op10_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
