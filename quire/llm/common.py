@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,21 +50,64 @@ def words(text: Column) -> Column:
     )
 
 
-class HashCache(dict):
-    """64-bit hashes of byte strings; forgets all when it holds too many."""
-
-    def __init__(self, limit: int = 400_000, seed: int = 0):
-        super().__init__()
-        self.limit, self.seed = limit, seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return value
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+#: Bytes hashed at once; a longer text is cut between words.
+HASH_PIECE = 1 << 18
+_is_blank = np.zeros(256, bool)
+_is_blank[list(BLANKS.encode())] = True
+_byte_value = np.random.default_rng(20240607).integers(0, 2**64, 256, np.uint64, endpoint=False)
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base modulo 2**64, and their inverses."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            with np.errstate(over="ignore"):
+                _powers[k] = np.multiply.accumulate(
+                    np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64
+                )
+    return _powers[0][:n], _powers[1][:n]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a UTF-8 text, by running polynomial sums."""
+    if len(data) <= HASH_PIECE:
+        return _word_hashes(data)
+    found, a = [], 0
+    while a < len(data):
+        b = a + HASH_PIECE
+        while b < len(data) and not _is_blank[data[b]]:
+            b += 1
+        found.append(_word_hashes(data[a:b]))
+        a = b
+    return np.concatenate(found)
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    code = np.frombuffer(data, np.uint8)
+    blank = _is_blank[code]
+    edge = np.ones(len(code) + 2, bool)
+    edge[1:-1] = blank
+    turn = np.flatnonzero(edge[1:] != edge[:-1])
+    starts, ends = turn[::2], turn[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    power, inverse = powers(len(code))
+    sums = np.zeros(len(code) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_byte_value[code] * power, out=sums[1:])
+        return mix64((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    if len(values) < 2:
+        return values
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

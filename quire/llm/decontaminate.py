@@ -49,8 +49,13 @@ _PARTS = bytes(
 )
 
 
+def plain(text: str | None) -> bytes:
+    """The text in UTF-8 with A-Z lower-cased and blanks for punctuation."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_PARTS)
+
+
 def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_PARTS).split()
+    return plain(text).split()
 
 
 def shingles(words: list[bytes], width: int = WIDTH) -> list[bytes]:
@@ -123,14 +128,13 @@ class Benchmark:
 
     def __init__(self, rows: list[tuple[int, str]], radius=RADIUS, similarity=SIMILARITY):
         self.similarity = similarity
-        self.hash = common.HashCache()
         self.by_length: dict[int, list[tuple[int, Counter]]] = {}
         known = []
         for item, text in rows:
             ws = tokens(text)
             if ws:
                 self.by_length.setdefault(len(ws), []).append((item, Counter(shingles(ws))))
-                known.append(common.shingle_hashes(self.hash.of(ws), WIDTH))
+                known.append(common.shingle_hashes(common.word_hashes(b" ".join(ws)), WIDTH))
         self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         # a bit per possible low 20 bits, to pass over most shingles at once
         self.maybe = np.zeros(1 << 20, bool)
@@ -143,7 +147,7 @@ class Benchmark:
             sums = []
             for _, count in items:
                 hs = np.array(
-                    [common.shingle_hashes(self.hash.of(s.split(b" ")), WIDTH)[0] for s in count], np.uint64
+                    [common.shingle_hashes(common.word_hashes(s), WIDTH)[0] for s in count], np.uint64
                 )
                 sums.append((signs(hs) * np.array(list(count.values()))[:, None]).sum(0))
             self.index[n] = HammingIndex(fingerprint(np.array(sums)), radius)
@@ -155,17 +159,16 @@ class Benchmark:
 
     def search(self, text: str | None):
         """(item, first word, words, distance, similarity) of the best window of each item."""
-        ws = tokens(text)
+        data, ws = plain(text), None
         best: dict[int, tuple] = {}
-        if not ws:
-            return best
-        hashed = self.hash.of(ws)
+        hashed = common.word_hashes(data)
         for width, lengths in ((WIDTH, self.long), *((n, [n]) for n in self.short)):
-            if len(ws) < width or not lengths:
+            if len(hashed) < width or not lengths:
                 continue
             hs = common.shingle_hashes(hashed, width)
             hits = self.has(hs)
             if len(hits):
+                ws = ws or data.split()
                 for n in lengths:
                     self._windows(ws, hs, hits, n, width, best)
         return best

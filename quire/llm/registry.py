@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, language_id, mixing
+from quire.llm import decontaminate, jaccard_join, language_id, mixing
 
 
 def queries() -> dict:
     return {
         "op3_language_id": language_id.op3_language_id,
         "op7_mixing": mixing.op7_mixing,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op10_decontamination": decontaminate.op10_decontamination,
     }
 
