@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, jaccard_join, language_id, mixing
+from quire.llm import decontaminate, jaccard_join, language_id, mixing, training_order
 
 
 def queries() -> dict:
     return {
         "op3_language_id": language_id.op3_language_id,
+        "op4_training_order": training_order.op4_training_order,
         "op7_mixing": mixing.op7_mixing,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op10_decontamination": decontaminate.op10_decontamination,
