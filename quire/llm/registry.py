@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, jaccard_join, language_id, mixing, training_order
+from quire.llm import bilinear, decontaminate, jaccard_join, language_id, mixing, training_order
 
 
 def queries() -> dict:
     return {
+        "op1_lm_scoring": bilinear.op1_lm_scoring,
         "op3_language_id": language_id.op3_language_id,
         "op4_training_order": training_order.op4_training_order,
         "op7_mixing": mixing.op7_mixing,
