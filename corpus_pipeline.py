@@ -1,3 +1,95 @@
-STAGES = []
+"""Corpus preparation: five stages over ``documents``, from raw rows to token shards.
+
+1. language_id: documents of no recognisable language go, as do those whose
+   language is less sure than ``MIN_SCORE``.
+2. near_duplicates: of every group linked by five-word shingles at a similarity of
+   0.8 or more, the document with the smallest id stays.
+3. decontaminate: documents with a window that is a near copy of a benchmark item go.
+4. mix: every document is repeated as often as the source mix reads it.
+5. token_ids: sequences of token ids get a training order and are written to shards;
+   the index of the shards comes back.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before
+kept. Rows whose id is null pass stages 2 and 3, which work by id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import common, decontaminate, jaccard_join, language_id, mixing, training_order
+
+MIN_SCORE = 0.5
+WIDTH, PERCENT = 5, 80
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A staged table of ids, marked for broadcasting if it is small."""
+    df = common.stage(df, "pipeline-ids")
+    return F.broadcast(df) if df.count() <= jaccard_join.BROADCAST_IDS else df
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.train(docs.where(~common.held_out("doc_id", 4)))
+    columns = docs.columns
+    scored = language_id.score(docs, model, columns)
+    found = F.col("lang_pred"), F.col("score")
+    # the prediction's columns come last; the caller's may have the same names
+    renamed = scored.toDF(*[f"c{k}" for k in range(len(columns))], "lang_pred", "score")
+    kept = renamed.where((found[0] != language_id.UNKNOWN) & (found[1] >= MIN_SCORE))
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = common.stage(
+        jaccard_join.ngram_components(docs, WIDTH, PERCENT).where("doc_id IS NOT NULL"), "pipeline-groups"
+    )
+    gone = groups.where("component_id != doc_id").select("doc_id").distinct()
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    # rows that share an id are one document if their texts are equal as well
+    again = small(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(
+        kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    )
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(small(leaks.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(docs).groupBy("doc_id").agg(
+        F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("copies")
+    )
+    plan = small(mixed.where("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies"))
+    joined = docs.select(F.struct(*docs.columns).alias("row")).join(
+        plan, F.col("row.doc_id").eqNullSafe(F.col("mixed_id"))
+    )
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return training_order.materialise(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("mix", mix),
+    ("token_ids", write_token_ids),
+]
+
+#: Trained and tokenised stages have no SQL; tests/llm compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, function in STAGES[:-1]:
+        docs = common.stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -178,8 +178,10 @@ def score(docs: DataFrame, model, id_cols: list[str], text_col="text") -> DataFr
     n_ids = len(id_cols)
     # positional names, so that no column of the caller can clash
     rows = docs.select(
-        *[F.col(c).alias(f"id{k}") for k, c in enumerate(id_cols)], F.col(text_col).alias("text")
+        *[F.col(f"`{c}`").alias(f"id{k}") for k, c in enumerate(id_cols)],
+        *([] if text_col in id_cols else [F.col(text_col).alias("text")]),
     )
+    text = f"id{id_cols.index(text_col)}" if text_col in id_cols else "text"
 
     def predict(batches):
         names, logs = held.value
@@ -188,7 +190,7 @@ def score(docs: DataFrame, model, id_cols: list[str], text_col="text") -> DataFr
             n = len(batch)
             sums = np.zeros((n, len(names)))
             found = np.zeros(n, np.int64)
-            for run in pieces(batch["text"].tolist()):
+            for run in pieces(batch[text].tolist()):
                 row = np.array([i for i, _ in run])
                 bucket, owner, letter = grams([t for _, t in run])
                 np.add.at(found, row, letter)
