@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bilinear, decontaminate, jaccard_join, language_id, mixing, training_order
+from quire.llm import bilinear, chat_tree, decontaminate, jaccard_join, language_id, mixing, training_order
 
 
 def queries() -> dict:
@@ -12,9 +12,10 @@ def queries() -> dict:
         "op4_training_order": training_order.op4_training_order,
         "op7_mixing": mixing.op7_mixing,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+        "op9_chat_tree": chat_tree.op9_chat_tree,
         "op10_decontamination": decontaminate.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE}
+    return {"op7_mixing": mixing.ORACLE, "op9_chat_tree": chat_tree.ORACLE}
