@@ -10,8 +10,8 @@ neighbourhood finds every fingerprint within the radius. Candidates are then
 held against the item by the exact weighted Jaccard similarity of the shingle
 counts, with shingles compared as words, not hashes.
 
-Windows that share no shingle with any item have similarity 0 with all of them;
-they are passed over before fingerprints are taken, which loses nothing. Words
+Windows that share no shingle with any item of their length have similarity 0 with
+all of them; they are passed over before fingerprints are taken, which loses nothing. Words
 are lower-cased (A-Z) and parted at blanks and ASCII punctuation, so that passages
 match whatever punctuation stands around them.
 
@@ -129,13 +129,15 @@ class Benchmark:
     def __init__(self, rows: list[tuple[int, str]], radius=RADIUS, similarity=SIMILARITY):
         self.similarity = similarity
         self.by_length: dict[int, list[tuple[int, Counter]]] = {}
-        known = []
+        #: number of words of the items that have a shingle, by its hash
+        self.lengths: dict[int, set[int]] = {}
         for item, text in rows:
             ws = tokens(text)
             if ws:
                 self.by_length.setdefault(len(ws), []).append((item, Counter(shingles(ws))))
-                known.append(common.shingle_hashes(common.word_hashes(b" ".join(ws)), WIDTH))
-        self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
+                for h in common.shingle_hashes(common.word_hashes(b" ".join(ws)), WIDTH).tolist():
+                    self.lengths.setdefault(h, set()).add(len(ws))
+        self.known = np.array(sorted(self.lengths), np.uint64)
         # a bit per possible low 20 bits, to pass over most shingles at once
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -155,7 +157,8 @@ class Benchmark:
     def has(self, hashes: np.ndarray) -> np.ndarray:
         """Positions whose shingle some item has."""
         at = np.flatnonzero(self.maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        return at[np.isin(hashes[at], self.known)]
+        place = np.minimum(np.searchsorted(self.known, hashes[at]), max(len(self.known) - 1, 0))
+        return at[self.known[place] == hashes[at]] if len(at) else at
 
     def search(self, text: str | None):
         """(item, first word, words, distance, similarity) of the best window of each item."""
@@ -166,11 +169,13 @@ class Benchmark:
             if len(hashed) < width or not lengths:
                 continue
             hs = common.shingle_hashes(hashed, width)
-            hits = self.has(hs)
-            if len(hits):
+            hits: dict[int, list[int]] = {}
+            for at in self.has(hs).tolist():
+                for n in self.lengths[int(hs[at])]:
+                    hits.setdefault(n, []).append(at)
+            for n in sorted(hits.keys() & set(lengths)):
                 ws = ws or data.split()
-                for n in lengths:
-                    self._windows(ws, hs, hits, n, width, best)
+                self._windows(ws, hs, np.array(hits[n]), n, width, best)
         return best
 
     def _windows(self, ws, hs, hits, n, width, best) -> None:
