@@ -43,6 +43,8 @@ HUB = 64
 BUFFER = 1 << 20
 PART = 1 << 20
 SEEN = 1 << 20
+#: 64-bit words of a set's sketch.
+SKETCH = 8
 #: Pivots whose texts are sent once per so many comparisons.
 FAN = 256
 #: Ids that may be broadcast: 300,000 of 8 bytes.
@@ -60,6 +62,15 @@ def node_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH 64-bit words of parities: each element flips one bit.
+
+    Two sketches differ in at most as many bits as their sets differ in elements."""
+    bit = (hashes >> np.uint64(40)).astype(np.int64) % (64 * SKETCH)
+    odd = (np.bincount(bit, minlength=64 * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
@@ -70,19 +81,24 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def digests(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size) and node (null if the set is empty) per row."""
+    """doc_id, n (set size), node (null if the set is empty) and sketch words per row."""
 
     def measure(batches):
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch["text"].tolist()]
             n = np.array([len(s) for s in sets], np.int64)
             node = pd.array([node_of(s) if len(s) else None for s in sets], dtype="Int64")
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "node": node})
+            parities = np.array([sketch(s) for s in sets]).reshape(-1, SKETCH)
+            yield pd.DataFrame(
+                {"doc_id": batch["doc_id"], "n": n, "node": node}
+                | {f"s{k}": parities[:, k] for k in range(SKETCH)}
+            )
 
-    return docs.mapInPandas(measure, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long")
+    words = ", ".join(f"s{k} long" for k in range(SKETCH))
+    return docs.mapInPandas(measure, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long, {words}")
 
 
-def signature_blocks(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+def signature_blocks(docs: DataFrame, width: int, percent: int, parts: int, collide: float) -> DataFrame:
     """part, keys and nodes as packed arrays."""
 
     def pack(keys, nodes):
@@ -113,7 +129,7 @@ def signature_blocks(docs: DataFrame, width: int, percent: int, parts: int) -> D
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-                k = partenum.signatures(s, percent)
+                k = partenum.signatures(s, percent, 0, collide)
                 if len(k):
                     keys.append(k)
                     nodes.append(np.full(len(k), node, np.int64))
@@ -204,7 +220,11 @@ def candidates(blocks: DataFrame, parts: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) that are linked. names: node, id, n."""
+    """Those of ``pairs`` (a, b: nodes) that are linked. names: node, id, n, s0, s1...
+
+    Texts are fetched only for pairs whose sizes and sketches allow a link, which
+    loses none: a sketch never shows more difference than there is."""
+    differ = " + ".join(f"bit_count(s{k}_a ^ s{k}_b)" for k in range(SKETCH))
     a, b = names.select(*[F.col(c).alias(f"{c}_a") for c in names.columns]), names.select(
         *[F.col(c).alias(f"{c}_b") for c in names.columns]
     )
@@ -212,6 +232,7 @@ def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, perc
         pairs.join(a, F.col("a") == F.col("node_a"))
         .join(b, F.col("b") == F.col("node_b"))
         .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        .where(f"{differ} <= n_a + n_b - 2 * ceil({percent} * (n_a + n_b) / {100 + percent}.0)")
         .select("a", "b", "id_a", "id_b")
     )
     degree = fit.groupBy("a").agg(F.count("*").alias("degree"))
@@ -323,10 +344,16 @@ def ngram_components(
     """doc_id, n_shingles, component_id: a row per row of ``docs``."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = common.stage(digests(docs, width), "join-digests")
-    names = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
-    total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(8, math.ceil(total * 0.55 / PART))
-    found = common.stage(candidates(signature_blocks(docs, width, percent, parts), parts), "join-found")
+    names = rows.where("n > 0").groupBy("node").agg(
+        F.min("doc_id").alias("id"), F.max("n").alias("n"), *[F.max(f"s{k}").alias(f"s{k}") for k in range(SKETCH)]
+    )
+    names = common.stage(names, "join-names")
+    total, sets = names.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    parts = max(8, math.ceil(total * 0.6 / PART))
+    # the more sets, the more of them share a passage: collisions weigh in proportion
+    collide = max(partenum.COLLIDE, partenum.COLLIDE_SHARE * sets)
+    blocks = signature_blocks(docs, width, percent, parts, collide)
+    found = common.stage(candidates(blocks, parts), "join-found")
     star = found.where(f"kind = {STAR}").select("a", "b").distinct()
     links = common.stage(verify(star, names, docs, width, percent), "join-links")
     label = components(links)
