@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bilinear, chat_tree, decontaminate, jaccard_join, language_id, mixing, personal_data, training_order
+from quire.llm import bilinear, chat_tree, decision_list, decontaminate, jaccard_join, language_id, mixing, personal_data, training_order
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_lm_scoring": bilinear.op1_lm_scoring,
         "op3_language_id": language_id.op3_language_id,
         "op4_training_order": training_order.op4_training_order,
+        "op5_quality_rules": decision_list.op5_quality_rules,
         "op6_personal_data": personal_data.op6_personal_data,
         "op7_mixing": mixing.op7_mixing,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
