@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import bilinear, chat_tree, decision_list, decontaminate, jaccard_join, language_id, mixing, personal_data, training_order
+from quire.llm import bilinear, chat_tree, decision_list, decontaminate, jaccard_join, language_id, mixing, personal_data, revisits, training_order
 
 
 def queries() -> dict:
     return {
         "op1_lm_scoring": bilinear.op1_lm_scoring,
+        "op2_revisits": revisits.op2_revisits,
         "op3_language_id": language_id.op3_language_id,
         "op4_training_order": training_order.op4_training_order,
         "op5_quality_rules": decision_list.op5_quality_rules,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE, "op9_chat_tree": chat_tree.ORACLE}
+    return {"op2_revisits": revisits.ORACLE, "op7_mixing": mixing.ORACLE, "op9_chat_tree": chat_tree.ORACLE}
