@@ -43,8 +43,8 @@ HUB = 64
 BUFFER = 1 << 20
 PART = 1 << 20
 SEEN = 1 << 20
-#: 64-bit words of a set's sketch.
-SKETCH = 8
+#: Bits of a set's sketch at least.
+MIN_SKETCH = 512
 #: Pivots whose texts are sent once per so many comparisons.
 FAN = 256
 #: Ids that may be broadcast: 300,000 of 8 bytes.
@@ -63,14 +63,26 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """SKETCH 64-bit words of parities: each element flips one bit.
-
-    Two sketches differ in at most as many bits as their sets differ in elements."""
-    bit = (hashes >> np.uint64(40)).astype(np.int64) % (64 * SKETCH)
-    odd = (np.bincount(bit, minlength=64 * SKETCH) & 1).astype(np.uint8)
+    """Parities of a set's elements in at least as many bits, as 64-bit words.
+
+    The number of words is a power of two, so a longer sketch can be folded to the
+    length of a shorter one. Two sketches of one length never differ in more bits than
+    their sets differ in elements."""
+    bits = max(MIN_SKETCH, 1 << (len(hashes) - 1).bit_length() if len(hashes) else 0)
+    bit = (hashes >> np.uint64(24)).astype(np.int64) & (bits - 1)
+    odd = (np.bincount(bit, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def sketch_difference(a: str, b: str) -> str:
+    """SQL for the bits in which two sketches differ, the longer one folded once.
+
+    Lengths of sets that may be linked differ by less than a factor of two."""
+    half = "transform(slice({x}, 1, size({x}) div 2), (w, i) -> w ^ {x}[i + size({x}) div 2])"
+    fold = lambda x, y: f"if(size({x}) > size({y}), {half.format(x=x)}, {x})"
+    return f"aggregate(zip_with({fold(a, b)}, {fold(b, a)}, (u, v) -> bit_count(u ^ v)), 0, (n, x) -> n + x)"
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
@@ -81,21 +93,19 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def digests(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), node (null if the set is empty) and sketch words per row."""
+    """doc_id, n (set size), node (null if the set is empty) and sketch per row."""
 
     def measure(batches):
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch["text"].tolist()]
             n = np.array([len(s) for s in sets], np.int64)
             node = pd.array([node_of(s) if len(s) else None for s in sets], dtype="Int64")
-            parities = np.array([sketch(s) for s in sets]).reshape(-1, SKETCH)
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "n": n, "node": node}
-                | {f"s{k}": parities[:, k] for k in range(SKETCH)}
+                {"doc_id": batch["doc_id"], "n": n, "node": node, "sketch": [sketch(s) for s in sets]}
             )
 
-    words = ", ".join(f"s{k} long" for k in range(SKETCH))
-    return docs.mapInPandas(measure, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long, {words}")
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.mapInPandas(measure, f"doc_id {kind}, n long, node long, sketch array<long>")
 
 
 def signature_blocks(docs: DataFrame, width: int, percent: int, parts: int, collide: float) -> DataFrame:
@@ -220,11 +230,10 @@ def candidates(blocks: DataFrame, parts: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) that are linked. names: node, id, n, s0, s1...
+    """Those of ``pairs`` (a, b: nodes) that are linked. names: node, id, n, sketch.
 
     Texts are fetched only for pairs whose sizes and sketches allow a link, which
     loses none: a sketch never shows more difference than there is."""
-    differ = " + ".join(f"bit_count(s{k}_a ^ s{k}_b)" for k in range(SKETCH))
     a, b = names.select(*[F.col(c).alias(f"{c}_a") for c in names.columns]), names.select(
         *[F.col(c).alias(f"{c}_b") for c in names.columns]
     )
@@ -232,7 +241,7 @@ def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, perc
         pairs.join(a, F.col("a") == F.col("node_a"))
         .join(b, F.col("b") == F.col("node_b"))
         .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .where(f"{differ} <= n_a + n_b - 2 * ceil({percent} * (n_a + n_b) / {100 + percent}.0)")
+        .where(f"{sketch_difference('sketch_a', 'sketch_b')} <= n_a + n_b - 2 * ceil({percent} * (n_a + n_b) / {100 + percent}.0)")
         .select("a", "b", "id_a", "id_b")
     )
     degree = fit.groupBy("a").agg(F.count("*").alias("degree"))
@@ -345,7 +354,7 @@ def ngram_components(
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = common.stage(digests(docs, width), "join-digests")
     names = rows.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("id"), F.max("n").alias("n"), *[F.max(f"s{k}").alias(f"s{k}") for k in range(SKETCH)]
+        F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")
     )
     names = common.stage(names, "join-names")
     total, sets = names.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
