@@ -1,17 +1,675 @@
-"""Named queries of the engine and their SQL counterparts."""
+"""Named queries of the engine over the test tables, and their SQL counterparts.
+
+The tables stand in for documents: ``conversations`` for paged documents with an outline,
+``documents`` for prose, ``pages`` for titles, ``lineitem`` for glyphs and rules, ``events``
+for job outcomes. Every query reads whole tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import latex, naming, titles
+from quire.operators import checks, headings, layout, pages, state
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- paged documents -------------------------------------------------------------------
+
+
+def paged(spark, d) -> DataFrame:
+    return table(spark, d, "conversations").select(
+        F.col("conv_id").alias("doc_key"), F.col("turn").alias("page_idx"), F.coalesce("text", F.lit("")).alias("text"),
+        F.when(F.length("text") > 0, "text").otherwise("error").alias("method"),
+    )
+
+
+def outline(spark, d) -> DataFrame:
+    """Each user turn opens a chapter."""
+    from pyspark.sql import Window
+
+    users = table(spark, d, "conversations").where("role = 'user'")
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return users.select(
+        F.col("conv_id").alias("doc_key"), k.alias("pos"), F.lit(1).alias("level"),
+        F.concat(F.lit("Chapter "), k.cast("string")).alias("title"), (F.col("turn") + 1).alias("page"),
+    )
+
+
+PAGES_SQL = """
+pages_of AS (SELECT conv_id AS doc_key, turn AS page_idx, coalesce(text, '') AS text FROM conversations),
+offsets AS (
+  SELECT doc_key, page_idx, text, CAST(coalesce(sum(length(text) + 3) OVER (PARTITION BY doc_key ORDER BY page_idx
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM pages_of),
+outline AS (SELECT conv_id AS doc_key, turn AS page_idx,
+         'Chapter ' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS label FROM conversations WHERE role = 'user'),
+marks AS (
+  SELECT o.doc_key, f.start, o.label, count(*) OVER (PARTITION BY o.doc_key) AS n
+  FROM outline o JOIN offsets f USING (doc_key, page_idx)),
+marks2 AS (SELECT doc_key, start, label FROM marks WHERE n >= 2),
+texts AS (SELECT doc_key, string_agg(text, chr(10) || chr(12) || chr(10) ORDER BY page_idx) AS text FROM pages_of GROUP BY doc_key),
+cuts AS (
+  SELECT doc_key, start, label AS heading FROM marks2
+  UNION ALL
+  SELECT t.doc_key, 0, CASE WHEN m.least IS NULL THEN 'Complete Text' ELSE 'Front Matter' END
+  FROM texts t LEFT JOIN (SELECT doc_key, min(start) AS least FROM marks2 GROUP BY 1) m USING (doc_key)
+  WHERE m.least IS NULL OR m.least > 0),
+sections AS (
+  SELECT doc_key, heading, row_number() OVER w - 1 AS number,
+         substr(text, start + 1, coalesce(lead(start) OVER w, length(text)) - start) AS body
+  FROM cuts JOIN texts USING (doc_key) WINDOW w AS (PARTITION BY doc_key ORDER BY start))
+"""
+
+
+@query(f"WITH {PAGES_SQL} SELECT doc_key, page_idx, start, CAST(length(text) AS BIGINT) AS characters FROM offsets")
+def page_offsets(spark, d):
+    return pages.page_offsets(paged(spark, d))
+
+
+@query(f"WITH {PAGES_SQL} SELECT doc_key, start, label, lower(label) AS key, 'bookmarks' AS kind FROM marks2")
+def bookmark_headings(spark, d):
+    return pages.bookmark_headings(outline(spark, d), paged(spark, d))
+
+
+def sections_of(spark, d) -> DataFrame:
+    whole = paged(spark, d)
+    return pages.build_sections(pages.joined_text(whole), pages.bookmark_headings(outline(spark, d), whole))
+
+
+@query(
+    f"WITH {PAGES_SQL} SELECT doc_key, CAST(number AS INTEGER) AS number, heading, "
+    "CAST(length(body) AS BIGINT) AS characters, sha256(body) AS sha256 FROM sections"
+)
+def bookmark_sections(spark, d):
+    return sections_of(spark, d).select(
+        "doc_key", "number", "heading", F.length("body").cast("long").alias("characters"), F.sha2("body", 256).alias("sha256")
+    )
+
+
+ESCAPE_SQL = (
+    r"replace(replace(replace(regexp_replace(X, '([{}%&$_#]|\\)', '\\\1', 'g'), '\\', '\textbackslash{}'),"
+    r" '~', '\textasciitilde{}'), '^', '\textasciicircum{}')"
+)
+CONTROL_SQL = r"'[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]'"
+
+
+def _document_sql(body: str, source: str, heading: str) -> str:
+    escaped = lambda x: ESCAPE_SQL.replace("X", f"regexp_replace({x}, {CONTROL_SQL}, '', 'g')")
+    quoted = latex.PREAMBLE.replace("\n", "' || chr(10) || '")
+    return (
+        f"'{quoted}' || '\\section*{{' || {escaped(heading)} || '}}' || chr(10) || '{{\\small Source: ' || {escaped(source)}"
+        f" || '\\par}}' || chr(10) || '\\medskip' || chr(10) || regexp_replace(replace({body}, chr(10) || chr(12) || chr(10),"
+        f" chr(10) || '\\clearpage' || chr(10)), {CONTROL_SQL}, '', 'g') || chr(10) || '\\end{{document}}' || chr(10)"
+    )
+
+
+def catalog_of(spark, d) -> DataFrame:
+    source = F.concat(F.lit("conversation_"), F.col("doc_key").cast("string"), F.lit(".pdf"))
+    stem = F.concat(F.lit("conversation_"), F.col("doc_key").cast("string"))
+    outputs = pages.plan_sections(sections_of(spark, d), source, stem)
+    return pages.catalog(
+        outputs.select("*", source.alias("source_file"), F.lit("bookmarks").alias("method"), F.lit("text").alias("converter"))
+    )
+
+
+@query(
+    f"WITH {PAGES_SQL} SELECT 'conversation_' || doc_key || '.pdf' AS source_file, "
+    "'conversation_' || doc_key || '_' || lpad(CAST(number AS VARCHAR), 3, '0') || ' - ' || heading || '.tex' AS section_file, "
+    "'bookmarks' AS detection_method, heading, CAST(length("
+    + _document_sql("body", "'conversation_' || doc_key || '.pdf'", "heading")
+    + ") AS BIGINT) AS characters, 'text' AS converter FROM sections"
+)
+def section_catalog(spark, d):
+    return catalog_of(spark, d)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(10)
+    return catalog_of(spark, sf_dir)
+
+
+@query(
+    f"WITH {PAGES_SQL} SELECT doc_key, CAST(length(any_value(t.text)) AS BIGINT) AS expected, CAST(sum(length(body)) AS BIGINT) AS found, "
+    "string_agg(body, '' ORDER BY number) = any_value(t.text) AS complete FROM sections JOIN texts t USING (doc_key) GROUP BY doc_key"
+)
+def lossless_check(spark, d):
+    return pages.lossless(paged(spark, d), sections_of(spark, d))
+
+
+DENSITY_SQL = r"""
+sized AS (SELECT conv_id AS doc_key, turn AS page_idx, coalesce(text, '') AS text,
+                 greatest(1, count(*) OVER (PARTITION BY conv_id) // 12) AS step FROM conversations),
+density AS (SELECT doc_key, CAST(sum(length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))) AS DOUBLE) / count(*) AS density
+            FROM sized WHERE page_idx % step = 0 AND page_idx < step * 12 GROUP BY doc_key)
+"""
+
+
+@query(f"WITH {DENSITY_SQL} SELECT * FROM density")
+def text_density(spark, d):
+    return pages.text_density(paged(spark, d))
+
+
+@query(
+    f"WITH {DENSITY_SQL}, sums AS (SELECT doc_key, count(*) AS n, count(*) FILTER (length(text) = 0) AS errors, "
+    r"CAST(sum(length(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''))) AS BIGINT) AS characters FROM sized GROUP BY doc_key) "
+    "SELECT doc_key, density, characters, errors, CASE WHEN density < 40 THEN 'no text layer' WHEN errors > greatest(1, floor(n * 0.05)) "
+    "THEN 'too many failed pages' WHEN characters < 200 THEN 'too little text' ELSE 'accepted' END AS status FROM sums JOIN density USING (doc_key)"
+)
+def density_gate(spark, d):
+    return pages.gates(paged(spark, d))
+
+
+# --- lines and headings ----------------------------------------------------------------
+
+
+def prose(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+LINES_SQL = """
+raw AS (SELECT doc_id AS doc_key, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents WHERE coalesce(text, '') <> ''),
+split AS (SELECT doc_key, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS line_no, len(parts) AS n FROM raw),
+lines AS (SELECT doc_key, line_no, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_key ORDER BY line_no
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+          FROM split WHERE NOT (line_no = n - 1 AND line = ''))
+"""
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_key, CAST(line_no AS INTEGER) AS line_no, start, line FROM lines")
+def line_offsets(spark, d):
+    return headings.lines(prose(spark, d))
+
+
+@query(
+    f"WITH {LINES_SQL} SELECT doc_key, count(*) AS n_lines, count(*) FILTER (trim(line) <> '' AND length(trim(line)) <= 150 "
+    "AND NOT contains(line, '...')) AS acceptable FROM lines GROUP BY doc_key"
+)
+def acceptable_lines(spark, d):
+    return headings.lines(prose(spark, d)).groupBy("doc_key").agg(
+        F.count("*").alias("n_lines"), F.count_if(titles.acceptable_line(F.col("line"))).alias("acceptable")
+    )
+
+
+TITLE_SQL = r"""
+t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages),
+f AS (SELECT *, regexp_replace(title, '[^\p{L}]', '', 'g') AS letters, replace(lower(title), 'ß', 'ss') AS low FROM t)
+"""
+
+
+def titled(spark, d) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query(
+    f"WITH {TITLE_SQL} SELECT page_id, title, length(title) BETWEEN 1 AND 150 AND len(string_split(title, ' ')) <= 18 AND length(letters) >= 4 "
+    r"AND regexp_matches(letters, '^\p{Lu}') AND NOT regexp_matches(title, '[.,;:]$') AND NOT contains(title, '...') "
+    r"AND NOT regexp_matches(title, '\\[A-Za-z]+|\\[\\{}$&#_%]|[${}]|\^\{|_\{') AND NOT regexp_matches(title, '^[0-9]+(\.[0-9]+)+\b') "
+    + "".join(f"AND NOT starts_with(low, '{x}') " for x in titles.NOT_TITLES)
+    + "AS plausible FROM f"
+)
+def plausible_titles(spark, d):
+    return titled(spark, d).select(
+        "page_id", titles.squeezed(F.col("title")).alias("title"), titles.plausible_title(F.col("title")).alias("plausible")
+    )
+
+
+@query(f"WITH {TITLE_SQL} SELECT page_id, trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')) AS key FROM f")
+def normalized_keys(spark, d):
+    return titled(spark, d).select("page_id", titles.normalize_key(titles.squeezed(F.col("title"))).alias("key"))
+
+
+ROMAN = [
+    "", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X",
+    "XI", "XII", "XIII", "XIV", "XV", "XVI", "XVII", "XVIII", "XIX", "XX",
+]
+
+
+@query(
+    f"WITH named AS (SELECT p_partkey, (p_partkey % 20) + 1 AS k FROM part) "
+    "SELECT p_partkey, CAST(k AS INTEGER) AS roman, CAST(k AS INTEGER) AS spelled, CAST(k AS INTEGER) AS decimal FROM named"
+)
+def identifier_numbers(spark, d):
+    k = (F.col("p_partkey") % 20 + 1).cast("int")
+    roman, words = F.array(*map(F.lit, ROMAN)), F.array(*map(F.lit, titles.NUMBER_WORDS))
+    return table(spark, d, "part").select(
+        "p_partkey",
+        titles.identifier_number(F.get(roman, k)).alias("roman"),
+        titles.identifier_number(F.get(words, k - 1)).alias("spelled"),
+        titles.identifier_number(k.cast("string")).alias("decimal"),
+    )
+
+
+def book(spark, d) -> DataFrame:
+    """Paged documents whose pages open with a chapter line."""
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("doc_key").orderBy("page_idx"))
+    opened = paged(spark, d).withColumn("text", F.concat(F.lit("Chapter "), k.cast("string"), F.lit(" Opening\n\n"), F.col("text")))
+    return pages.joined_text(opened)
+
+
+BOOK_SQL = """
+numbered AS (SELECT conv_id AS doc_key, turn, 'Chapter ' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || ' Opening' AS line,
+                    coalesce(text, '') AS text FROM conversations),
+placed AS (SELECT doc_key, line, CAST(coalesce(sum(length(line) + 2 + length(text) + 3) OVER (PARTITION BY doc_key ORDER BY turn
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM numbered)
+"""
+
+
+@query(
+    f"WITH {BOOK_SQL} SELECT doc_key, start, line AS label, 'chapter ' || regexp_extract(line, '[0-9]+') AS key, 'chapter' AS kind, "
+    "CAST(regexp_extract(line, '[0-9]+') AS INTEGER) AS number FROM placed"
+)
+def heading_candidates(spark, d):
+    return headings.candidates(book(spark, d)).where("kind = 'chapter'")
+
+
+@query(
+    f"WITH RECURSIVE {BOOK_SQL}, nodes AS (SELECT doc_key, start, line, CAST(regexp_extract(line, '[0-9]+') AS INTEGER) AS number FROM placed), "
+    "chains AS (SELECT doc_key, start, number, 1 AS n, [start] AS path FROM nodes UNION ALL "
+    "SELECT c.doc_key, b.start, b.number, c.n + 1, list_append(c.path, b.start) FROM chains c JOIN nodes b ON b.doc_key = c.doc_key "
+    "AND b.number = c.number + 1 AND b.start - c.start >= 400), "
+    "best AS (SELECT doc_key, arg_max(path, n * 1000 - path[1] / 1e9) AS path, max(n) AS n FROM chains GROUP BY doc_key) "
+    "SELECT doc_key, 'chapter' AS method, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_key, unnest(path) FROM best WHERE n >= 2) GROUP BY doc_key"
+)
+def detected_structure(spark, d):
+    found = headings.detect_structure(book(spark, d), 400).where("method = 'chapter'")
+    return found.groupBy("doc_key", "method").agg(F.count("*").alias("n"))
+
+
+def marked_up(spark, d) -> DataFrame:
+    """Paged documents whose pages open with a section mark."""
+    mark = F.concat(F.lit("\\section{Part "), F.col("page_idx").cast("string"), F.lit(" \\& more}\n"), F.col("text"))
+    return pages.joined_text(paged(spark, d).withColumn("text", mark))
+
+
+@query(
+    r"""WITH p AS (SELECT conv_id AS doc_key, turn, coalesce(text, '') AS text, '\section{Part ' || turn || ' \& more}' AS line FROM conversations)
+SELECT doc_key, CAST(coalesce(sum(length(line) + 1 + length(text) + 3) OVER (PARTITION BY doc_key ORDER BY turn
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, 'Part ' || turn || ' & more' AS label,
+       'part ' || turn || ' more' AS key, 'LaTeX headings' AS kind FROM p"""
+)
+def latex_headings(spark, d):
+    return headings.latex_headings(marked_up(spark, d))
+
+
+# --- text functions --------------------------------------------------------------------
+
+
+@query(
+    "SELECT doc_id, length(e) AS characters, sha256(e) AS sha256 FROM (SELECT doc_id, "
+    + ESCAPE_SQL.replace("X", "coalesce(text, '')") + " AS e FROM documents)"
+)
+def escape_text(spark, d):
+    out = latex.escape_text(F.col("text"))
+    return prose(spark, d).select(
+        F.col("doc_key").alias("doc_id"), F.length(out).cast("long").alias("characters"), F.sha2(out, 256).alias("sha256")
+    )
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def escape_round_trip(spark, d):
+    back = latex.unescape_text(latex.escape_text(F.col("text")))
+    return prose(spark, d).select(F.col("doc_key").alias("doc_id"), F.sha2(back, 256).alias("sha256"))
+
+
+@query(
+    "SELECT doc_id, sha256(" + _document_sql("coalesce(text, '')", "source || '_' || doc_id || '.pdf'", "lang || ' & ' || doc_id")
+    + ") AS sha256 FROM documents"
+)
+def latex_document(spark, d):
+    docs = table(spark, d, "documents")
+    key = F.col("doc_id").cast("string")
+    out = latex.latex_document(
+        F.coalesce("text", F.lit("")), F.concat("source", F.lit("_"), key, F.lit(".pdf")), F.concat("lang", F.lit(" & "), key)
+    )
+    return docs.select("doc_id", F.sha2(out, 256).alias("sha256"))
+
+
+@query(
+    r"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
+c AS (SELECT page_id, trim(regexp_replace(regexp_replace(title, '[\\/:*?"<>|\x00-\x1F]', ' ', 'g'), '\s+', ' ', 'g'), ' .') AS clean FROM t)
+SELECT page_id, coalesce(nullif(rtrim(substr(clean, 1, 100), ' .'), ''), 'Untitled Section') AS name FROM c"""
+)
+def safe_filename(spark, d):
+    return titled(spark, d).select("page_id", naming.safe_filename(F.col("title")).alias("name"))
+
+
+@query(
+    r"""WITH t AS (SELECT p_partkey, p_name FROM part)
+SELECT p_partkey, p_name || '_' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || ' - ' || p_name || '.tex' AS file FROM t"""
+)
+def flat_filename(spark, d):
+    return table(spark, d, "part").select(
+        "p_partkey", naming.flat_section_filename(F.col("p_name"), F.col("p_partkey") % 1000, F.col("p_name"), ".tex").alias("file")
+    )
+
+
+STRIP_SQL = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\$[^$]*\$', ' ', 'gs'),"
+    r" '\\\[.*?\\\]', ' ', 'gs'), '\\begin\{align\*\}.*?\\end\{align\*\}', ' ', 'gs'), '\\[A-Za-z]+\*?', ' ', 'g'), '[{}\\]', ' ', 'g')"
+)
+WORDS_SQL = f"words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all({STRIP_SQL}, '[A-Za-z]+') AS w FROM documents)"
+GARBLED_SQL = "len(list_filter(w, lambda x: regexp_matches(x, '[a-z][A-Z]|^[^aeiouyAEIOUY]{5,}$|^.{23,}$')))"
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc_id, CAST(len(w) AS BIGINT) AS words, CAST({GARBLED_SQL} AS BIGINT) AS garbled FROM words")
+def garbled_words(spark, d):
+    return prose(spark, d).select(
+        F.col("doc_key").alias("doc_id"), latex.word_count(F.col("text")).alias("words"), latex.garbled_words(F.col("text")).alias("garbled")
+    )
+
+
+@query(
+    f"WITH {WORDS_SQL}, s AS (SELECT d.source, octet_length(encode(w.text)) AS b, len(w) AS n, {GARBLED_SQL} AS g FROM words w JOIN documents d USING (doc_id)) "
+    "SELECT source, CAST(sum(b) AS BIGINT) AS bytes, CAST(sum(n) AS BIGINT) AS words, CAST(sum(g) AS BIGINT) AS garbled, "
+    "round(100.0::DOUBLE * sum(g) / greatest(sum(n), 1), 2) AS percent FROM s GROUP BY ROLLUP (source)"
+)
+def statistics_rollup(spark, d):
+    docs = table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("text"))
+    return checks.statistics(docs, "source")
+
+
+@query(
+    "SELECT conv_id, turn, "
+    + ", ".join(
+        f"CAST(len(regexp_extract_all(s, '{p}')) AS BIGINT) AS {k}" for k, p in latex.CONSTRUCTS.items()
+    )
+    + r", CAST(len(regexp_extract_all(s, '\$')) // 2 AS BIGINT) AS inline FROM (SELECT conv_id, turn, '\section{' || role || '} \[ x_{1} \]' || coalesce(text, '') AS s FROM conversations)"
+)
+def construct_counts(spark, d):
+    rows = table(spark, d, "conversations").select(
+        "conv_id", "turn", F.concat(F.lit("\\section{"), "role", F.lit("} \\[ x_{1} \\]"), F.coalesce("text", F.lit(""))).alias("s")
+    )
+    return rows.select("conv_id", "turn", *[c.alias(k) for k, c in latex.construct_counts(F.col("s")).items()])
+
+
+# --- checks ----------------------------------------------------------------------------
+
+
+@query(
+    r"""WITH p AS (SELECT doc_id AS doc_key, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '\\.', '', 'gs') AS plain FROM documents),
+i AS (SELECT doc_key, 'odd dollars' AS kind, len(list_filter(string_split_regex(plain, '\n[ \t]*\n'), lambda x: (length(x) - length(replace(x, '$', ''))) % 2 = 1)) AS n FROM p
+UNION ALL SELECT doc_key, 'empty maths', len(regexp_extract_all(plain, '\$[ \t]*\$')) FROM p
+UNION ALL SELECT doc_key, 'control character', len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')) FROM p)
+SELECT doc_key, kind, CAST(n AS BIGINT) AS n FROM i WHERE n > 0"""
+)
+def check_issues(spark, d):
+    return checks.issues(prose(spark, d))
+
+
+@query(
+    r"""WITH p AS (SELECT doc_id AS doc_key, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_key,
+ CAST(len(regexp_extract_all(t, '[∑∏∫√]')) AS BIGINT) AS structural, CAST(len(regexp_extract_all(t, '[α-ωΑ-Ω]')) AS BIGINT) AS greek,
+ CAST(len(regexp_extract_all(t, '[≤≥≠≈≡⊂⊆∈]')) AS BIGINT) AS relations FROM p)
+SELECT *, CASE WHEN structural = 0 AND greek = 0 THEN 'unusable' ELSE 'usable' END AS verdict FROM c"""
+)
+def source_diagnosis(spark, d):
+    return checks.diagnose(prose(spark, d))
+
+
+# --- layout ----------------------------------------------------------------------------
+
+
+def glyphs(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select(
+        F.expr("l_partkey div 100").alias("doc_key"), (F.col("l_partkey") % 100).cast("int").alias("page_idx"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        F.col("l_returnflag").alias("text"), F.lit(None).cast("string").alias("name"),
+        F.when(F.col("l_linestatus") == "F", "CMR10").otherwise("CMMI10").alias("font"),
+        (F.col("l_discount") * 100).alias("size"),
+        (F.col("l_extendedprice") / 100).alias("x0"), F.col("l_quantity").alias("y0"),
+        (F.col("l_extendedprice") / 100 + F.col("l_discount") * 100).alias("x1"),
+        (F.col("l_quantity") + F.col("l_tax") * 50).alias("y1"),
+        (F.col("l_extendedprice") / 100).alias("ox"), F.col("l_quantity").alias("oy"),
+        F.col("l_linenumber").cast("int").alias("flags"),
+    )
+
+
+GLYPHS_SQL = """
+glyphs AS (SELECT l_partkey // 100 AS doc_key, CAST(l_partkey % 100 AS INTEGER) AS page_idx, l_orderkey * 10 + l_linenumber AS pos,
+  l_returnflag AS text, CASE WHEN l_linestatus = 'F' THEN 'CMR10' ELSE 'CMMI10' END AS font, l_discount * 100 AS size,
+  l_extendedprice / 100 AS x0, l_quantity AS y0, l_extendedprice / 100 + l_discount * 100 AS x1, l_quantity + l_tax * 50 AS y1,
+  l_extendedprice / 100 AS ox, l_quantity AS oy, CAST(l_linenumber AS INTEGER) AS flags FROM lineitem)
+"""
+
+
+def _islands_sql(by: str, low: str, high: str, gap: str, source: str = "glyphs", tie: str = "pos") -> str:
+    return (
+        f"reach AS (SELECT *, max({high}) OVER (PARTITION BY {by} ORDER BY {low}, {tie} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM {source}), "
+        f"numbered AS (SELECT *, sum(CASE WHEN far IS NULL OR {low} - far > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY {low}, {tie} "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM reach)"
+    )
+
+
+@query(
+    f"WITH {GLYPHS_SQL}, {_islands_sql('doc_key, page_idx', 'y0', 'y1', '0.6')} SELECT doc_key, page_idx, CAST(island AS BIGINT) AS band, "
+    "min(y0) AS y0, max(y1) AS y1, count(*) AS glyphs FROM numbered GROUP BY doc_key, page_idx, island"
+)
+def bands(spark, d):
+    return layout.bands(glyphs(spark, d))
+
+
+@query(
+    f"WITH {GLYPHS_SQL}, {_islands_sql('doc_key, page_idx', 'x0', 'x1', '11.0')} SELECT doc_key, page_idx, pos, CAST(island AS BIGINT) AS run FROM numbered"
+)
+def x_runs(spark, d):
+    return layout.islands(glyphs(spark, d), layout.PAGE, "x0", "x1", 11.0, name="run").select("doc_key", "page_idx", "pos", "run")
+
+
+@query(
+    f"WITH {GLYPHS_SQL}, {_islands_sql('doc_key, page_idx', 'x0', 'x1', '2.0', tie='x1')} SELECT doc_key, page_idx, CAST(island AS BIGINT) AS span, "
+    "min(x0) AS x0, max(x1) AS x1 FROM numbered GROUP BY doc_key, page_idx, island"
+)
+def interval_merge(spark, d):
+    return layout.merge_intervals(glyphs(spark, d), layout.PAGE)
+
+
+ROWS_SQL = f"""{GLYPHS_SQL}, moved AS (SELECT *, CASE WHEN lag(oy) OVER w IS NULL OR oy - lag(oy) OVER w > greatest(1.6, size * 0.45) THEN 1 ELSE 0 END AS fresh
+  FROM glyphs WINDOW w AS (PARTITION BY doc_key, page_idx ORDER BY oy, pos)),
+rowed AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc_key, page_idx ORDER BY oy, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS row_no FROM moved)"""
+
+
+@query(f"WITH {ROWS_SQL} SELECT doc_key, page_idx, pos, row_no FROM rowed")
+def row_breaks(spark, d):
+    return layout.row_breaks(glyphs(spark, d)).select("doc_key", "page_idx", "pos", F.col("row").alias("row_no"))
+
+
+@query(
+    f"WITH {GLYPHS_SQL}, c AS (SELECT doc_key, page_idx, round(size, 1) AS v, count(*) AS n, min(pos) AS seen FROM glyphs WHERE font = 'CMR10' GROUP BY ALL), "
+    "m AS (SELECT doc_key, page_idx, v, row_number() OVER (PARTITION BY doc_key, page_idx ORDER BY n DESC, seen) AS k FROM c) "
+    "SELECT doc_key, page_idx, coalesce(v, 10.0) AS body_size FROM (SELECT DISTINCT doc_key, page_idx FROM glyphs) LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (doc_key, page_idx)"
+)
+def body_size_mode(spark, d):
+    return layout.body_font_size(glyphs(spark, d))
+
+
+@query(f"WITH {GLYPHS_SQL} SELECT doc_key, page_idx, list_sort(list(x1))[len(list(x1)) // 2 + 1] AS middle FROM glyphs GROUP BY doc_key, page_idx")
+def upper_median(spark, d):
+    return glyphs(spark, d).groupBy(*layout.PAGE).agg(layout.upper_median("x1").alias("middle"))
+
+
+GROUPS_SQL = f"""{ROWS_SQL}, most AS (SELECT *, max(size) OVER (PARTITION BY doc_key, page_idx, row_no) AS big FROM rowed),
+groups AS (SELECT doc_key, page_idx, row_no AS group_id, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1,
+  coalesce(median(oy) FILTER (size >= 0.92 * big), max(y1)) AS base, max(size) AS size,
+  avg(CASE WHEN font = 'CMMI10' OR flags & 2 <> 0 THEN 1.0::DOUBLE ELSE 0 END) AS math_ratio,
+  avg(CASE WHEN flags & 16 <> 0 THEN 1.0::DOUBLE ELSE 0 END) AS head_ratio, row_no % 5 = 0 AS margin, 0 AS region
+  FROM most GROUP BY doc_key, page_idx, row_no)"""
+
+
+def grouped(spark, d) -> DataFrame:
+    rows = layout.row_breaks(glyphs(spark, d)).withColumnRenamed("row", "group_id")
+    return layout.group_metrics(rows, [*layout.PAGE, "group_id"]).withColumn(
+        "margin", F.col("group_id") % 5 == 0
+    ).withColumn("region", F.lit(0))
+
+
+@query(f"WITH {GROUPS_SQL} SELECT doc_key, page_idx, group_id, x0, x1, y0, y1, base, size, math_ratio, head_ratio FROM groups")
+def group_metrics(spark, d):
+    return grouped(spark, d).drop("margin", "region")
+
+
+RULES_SQL = "rules AS (SELECT doc_key, page_idx, pos AS rule_pos, x0 AS rx0, x1 AS rx1, y0 AS ry FROM glyphs WHERE flags = 1)"
+
+
+def ruled(spark, d) -> DataFrame:
+    return glyphs(spark, d).where("flags = 1").withColumn("y1", F.col("y0"))
+
+
+@query(
+    f"WITH {GROUPS_SQL}, {RULES_SQL}, near AS (SELECT r.*, g.group_id, r.rx0 >= g.x0 - 3 AND r.rx1 <= g.x1 + 3 AND r.ry BETWEEN g.y0 - 4 AND g.y1 + 4 AS inside, "
+    "1 / (1 + abs(r.ry - g.base)) AS score FROM rules r JOIN groups g USING (doc_key, page_idx) WHERE r.ry BETWEEN g.y0 - 6 AND g.y1 + 6), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY doc_key, page_idx, rule_pos ORDER BY CASE WHEN inside THEN 0 ELSE 1 END, "
+    "CASE WHEN inside THEN -score ELSE 0 END, group_id) AS i FROM near) SELECT doc_key, page_idx, rule_pos, group_id FROM k WHERE i = 1"
+)
+def attach_rules(spark, d):
+    return layout.attach_rules(ruled(spark, d), grouped(spark, d))
+
+
+@query(
+    f"WITH {GROUPS_SQL}, near AS (SELECT s.doc_key, s.page_idx, s.pos AS space_pos, g.group_id, abs(s.oy - g.base) AS dy FROM glyphs s JOIN groups g USING (doc_key, page_idx) "
+    "WHERE s.flags = 2 AND abs(s.oy - g.base) <= greatest(3.0, 0.7 * s.size) AND s.ox BETWEEN g.x0 - 14 AND g.x1 + 14), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY doc_key, page_idx, space_pos ORDER BY dy, group_id) AS i FROM near) SELECT doc_key, page_idx, space_pos, group_id FROM k WHERE i = 1"
+)
+def nearest_space(spark, d):
+    return layout.reattach_spaces(glyphs(spark, d).where("flags = 2"), grouped(spark, d))
+
+
+SNAP_SQL = f"""{GROUPS_SQL}, near AS (SELECT m.doc_key, m.page_idx, m.group_id, b.base, row_number() OVER (PARTITION BY m.doc_key, m.page_idx, m.group_id
+  ORDER BY abs(m.base - b.base), b.group_id) AS i FROM groups m JOIN groups b USING (doc_key, page_idx, region) WHERE m.margin AND NOT b.margin AND abs(m.base - b.base) <= 9),
+ordered AS (SELECT g.*, coalesce(n.base, g.base) AS ord FROM groups g LEFT JOIN (SELECT * FROM near WHERE i = 1) n USING (doc_key, page_idx, group_id))"""
+
+
+@query(f"WITH {SNAP_SQL} SELECT doc_key, page_idx, group_id, ord FROM ordered")
+def snap_order(spark, d):
+    return layout.snap_order(grouped(spark, d)).select("doc_key", "page_idx", "group_id", F.col("order").alias("ord"))
+
+
+@query(
+    f"WITH {SNAP_SQL} SELECT doc_key, page_idx, group_id, CAST(row_number() OVER (PARTITION BY doc_key, page_idx ORDER BY region, ord, "
+    "CASE WHEN margin THEN 0 ELSE 1 END, x0, group_id) AS INTEGER) AS reading FROM ordered"
+)
+def reading_order(spark, d):
+    return layout.reading_order(layout.snap_order(grouped(spark, d))).select("doc_key", "page_idx", "group_id", "reading")
+
+
+MEASURE_SQL = f"""{GROUPS_SQL}, pairs AS (SELECT g.doc_key, g.page_idx, g.group_id,
+  min(w.x0) FILTER (abs(g.base - w.base) <= 70 AND least(g.x1, w.x1) - greatest(g.x0, w.x0) > -60) AS nl,
+  max(w.x1) FILTER (abs(g.base - w.base) <= 70 AND least(g.x1, w.x1) - greatest(g.x0, w.x0) > -60) AS nr, min(w.x0) AS al, max(w.x1) AS ar
+  FROM groups g LEFT JOIN groups w ON w.doc_key = g.doc_key AND w.page_idx = g.page_idx AND w.x1 - w.x0 > 150 AND NOT w.margin
+  GROUP BY g.doc_key, g.page_idx, g.group_id),
+measured AS (SELECT g.*, coalesce(nl, al, x0) AS measure_left, coalesce(nr, ar, x1) AS measure_right FROM groups g JOIN pairs USING (doc_key, page_idx, group_id))"""
+
+
+@query(f"WITH {MEASURE_SQL} SELECT doc_key, page_idx, group_id, measure_left, measure_right FROM measured")
+def local_measure(spark, d):
+    return layout.local_measure(grouped(spark, d)).select("doc_key", "page_idx", "group_id", "measure_left", "measure_right")
+
+
+@query(
+    f"WITH {MEASURE_SQL} SELECT doc_key, page_idx, group_id, CASE WHEN margin THEN 'margin' WHEN head_ratio > 0.5 AND size >= 16 THEN 'section' "
+    "WHEN head_ratio > 0.5 AND size >= 13 THEN 'subsection' WHEN head_ratio > 0.5 AND size >= 10.4 THEN 'boxtitle' WHEN head_ratio > 0.5 THEN 'label' "
+    "WHEN math_ratio >= 0.55 AND x0 - measure_left > 8 THEN 'display' WHEN group_id % 3 = 0 AND math_ratio >= 0.4 THEN 'display' "
+    "WHEN measure_right - measure_left > 100 AND x0 - measure_left > 18 AND measure_right - x1 > 18 AND x1 - x0 < 0.72 * (measure_right - measure_left) THEN 'center' "
+    "ELSE 'text' END AS kind FROM measured"
+)
+def classify_groups(spark, d):
+    rows = layout.local_measure(grouped(spark, d)).withColumn("blank", F.lit(False)).withColumn("has_rules", F.col("group_id") % 3 == 0)
+    return rows.select("doc_key", "page_idx", "group_id", layout.classify().alias("kind"))
+
+
+@query(f"WITH {GLYPHS_SQL} SELECT doc_key, page_idx, pos FROM glyphs WHERE oy * 20 > 56 AND oy * 20 < 700")
+def strip_furniture(spark, d):
+    return layout.strip_furniture(glyphs(spark, d).withColumn("oy", F.col("oy") * 20)).select("doc_key", "page_idx", "pos")
+
+
+# --- state -----------------------------------------------------------------------------
+
+
+def outputs_of(spark, d) -> DataFrame:
+    """Files named by document, from the documents' texts."""
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("doc_key"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".tex")).alias("file"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"),
+    )
+
+
+@query(
+    "SELECT 'doc_' || doc_id || '.tex' AS file, sha256(coalesce(text, '')) AS sha256 FROM documents d "
+    "WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"
+)
+def stale_outputs(spark, d):
+    previous = outputs_of(spark, d)
+    kept = table(spark, d, "labels").select(F.col("doc_id").alias("doc_key")).distinct()
+    return state.stale_outputs(previous, previous.join(kept, "doc_key", "left_semi"), previous)
+
+
+@query(
+    "SELECT 'doc_' || d.doc_id || '.tex' AS file, CASE WHEN l.doc_id IS NULL THEN 'delete' WHEN l.quality = 1 THEN 'keep' ELSE 'write' END AS action "
+    "FROM documents d LEFT JOIN labels l USING (doc_id)"
+)
+def publish_plan(spark, d):
+    previous = outputs_of(spark, d)
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("doc_key"), "quality")
+    current = previous.join(labels, "doc_key").withColumn("sha256", F.when(F.col("quality") == 1, F.col("sha256")).otherwise("changed"))
+    return state.publish_plan(current, previous, previous)
+
+
+@query(
+    "SELECT d.doc_id AS doc_key, CASE WHEN quality = 1 THEN 'traditional' ELSE 'pdf2tex' END AS route FROM documents d JOIN labels l USING (doc_id) "
+    "WHERE quality = 1 OR toxic = 0"
+)
+def route_priority(spark, d):
+    documents = outputs_of(spark, d)
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("doc_key"), "quality", "toxic")
+    runs = documents.join(labels, "doc_key").select(
+        "doc_key", "sha256",
+        F.explode(F.array(
+            F.struct(F.lit("traditional").alias("route"), (F.col("quality") == 1).alias("done")),
+            F.struct(F.lit("pdf2tex").alias("route"), (F.col("toxic") == 0).alias("done")),
+        )).alias("r"),
+    ).select("doc_key", "sha256", "r.*", F.lit(None).cast("string").alias("error"), F.lit(True).alias("valid"))
+    return state.completed_route(documents, runs)
+
+
+@query("SELECT event_type AS status, count(*) AS n, CAST(sum(length(props)) AS BIGINT) AS characters FROM events GROUP BY event_type")
+def run_summary(spark, d):
+    return state.run_summary(
+        table(spark, d, "events").select(F.col("event_type").alias("status"), F.length("props").cast("long").alias("characters"))
+    )
+
+
+@query("SELECT user_id AS job, event_id AS seq, CASE WHEN k = 1 THEN event_type || '.pdf' ELSE event_type || '_' || k || '.pdf' END AS name "
+       "FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events)")
+def upload_names(spark, d):
+    files = table(spark, d, "events").select(
+        F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(".pdf")).alias("name")
+    )
+    return state.upload_names(files)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
