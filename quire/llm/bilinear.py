@@ -270,8 +270,9 @@ class Trainer:
         self._step("C", slice(None), d_c)
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary) -> Model:
-    """One pass over all rows of ``docs``, averaged over its tasks."""
+def fit(docs: DataFrame, vocabulary: Vocabulary, passes: int = 1) -> Model:
+    """``passes`` over all rows of ``docs``, averaged over its tasks; each batch of rows is
+    gone over so many times in turn."""
     model = Model(vocabulary.unigram)
     if not vocabulary.total:
         return model
@@ -287,7 +288,8 @@ def fit(docs: DataFrame, vocabulary: Vocabulary) -> Model:
         for batch in batches:
             for _, h, s, lengths in runs(batch["text"].tolist()):
                 units, _ = vocabulary.look_up(h, s)
-                trainer.learn(*sequence(units, lengths))
+                for _ in range(passes):
+                    trainer.learn(*sequence(units, lengths))
         if trainer.seen:
             # AdaGrad's sums weigh a parameter by what the task has learned of it
             past = np.concatenate([trainer.past[n].ravel() for n in Model.NAMES]).astype(np.float64)
@@ -385,7 +387,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Mod
     )
 
 
-def learn(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Model]:
+def learn(docs: DataFrame, passes: int = 1) -> tuple[DataFrame, Vocabulary, Model]:
     """Word counts (distributed), vocabulary and model of the rows not held out."""
     train = docs.where("NOT held_out").select("text")
     counts = common.stage(count_words(train), "lm-counts")
@@ -393,7 +395,7 @@ def learn(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Model]:
     frequent = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).toPandas()
     suffixes = counts.groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
     vocabulary = Vocabulary(frequent, suffixes, n_docs)
-    return counts, vocabulary, fit(train, vocabulary)
+    return counts, vocabulary, fit(train, vocabulary, passes)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

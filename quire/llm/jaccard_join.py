@@ -5,10 +5,9 @@ Buckets are not expanded into all their pairs at once:
 
 1. Every member is compared with its bucket's smallest member; the links give
    components.
-2. Pairs of members that still lie in different components are compared: in
-   buckets of up to ``HUB`` members all of them, in larger ones those with an end
-   outside the bucket's largest component. Nothing is capped; a bucket whose
-   members are all connected, as with groups of near copies, costs no more.
+2. In buckets whose members still lie in different components, the pairs with an end
+   outside the bucket's largest component are compared. Nothing is capped; a bucket
+   whose members are all connected, as with groups of near copies, costs no more.
 
 So links between different texts may go uncounted only inside a component, and
 the components are those of all links. Equal sets are one *node*; each task
@@ -39,7 +38,8 @@ from quire.llm import common, partenum
 
 WIDTH = 4
 PERCENT = 85
-HUB = 64
+#: Members of a bucket that a full buffer lets go.
+LARGE = 64
 BUFFER = 1 << 20
 PART = 1 << 20
 SEEN = 1 << 20
@@ -108,7 +108,7 @@ def digests(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(measure, f"doc_id {kind}, n long, node long, sketch array<long>")
 
 
-def signature_blocks(docs: DataFrame, width: int, percent: int, parts: int, collide: float) -> DataFrame:
+def signature_blocks(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
     """part, keys and nodes as packed arrays."""
 
     def pack(keys, nodes):
@@ -139,7 +139,7 @@ def signature_blocks(docs: DataFrame, width: int, percent: int, parts: int, coll
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-                k = partenum.signatures(s, percent, 0, collide)
+                k = partenum.signatures(s, percent)
                 if len(k):
                     keys.append(k)
                     nodes.append(np.full(len(k), node, np.int64))
@@ -153,12 +153,15 @@ def signature_blocks(docs: DataFrame, width: int, percent: int, parts: int, coll
     return docs.select("text").mapInPandas(sign, "part int, keys binary, nodes binary")
 
 
-STAR, PAIR, MEMBER = 0, 1, 2
+STAR, MEMBER = 0, 1
 
 
 def candidates(blocks: DataFrame, parts: int) -> DataFrame:
-    """kind, a, b: STAR and PAIR are pairs of nodes; MEMBER has a bucket's key in
-    a and a node of it in b."""
+    """kind, a, b. STAR: a bucket's smallest node and another node of it. MEMBER: the
+    name of a bucket of three nodes or more, and a node of it.
+
+    Buckets with the same nodes have the same name, the hash of their nodes, so that the
+    many buckets of a group of near copies count once."""
 
     def frame(kind, a, b):
         return pd.DataFrame({"kind": np.full(len(a), kind, np.int8), "a": a, "b": b})
@@ -173,55 +176,59 @@ def candidates(blocks: DataFrame, parts: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         return keys, nodes, first, np.diff(np.append(first, len(keys)))
 
-    def hubs_of(part, keys, nodes, first, size, which):
-        for a, n in zip(first[which].tolist(), size[which].tolist(), strict=True):
-            members = nodes[a : a + n]
-            yield frame(STAR, np.full(n - 1, members[0]), members[1:])
-            yield frame(MEMBER, np.full(n, (part << 32) + int(keys[a])), members)
+    def emit(nodes, first, size, names):
+        """Rows of all groups of two or more; ``names`` of groups."""
+        keep = np.repeat(size > 1, size)
+        shared = nodes[keep]
+        pivot = np.repeat(nodes[first], size)[keep]
+        name = np.repeat(names, size)[keep]
+        many = np.repeat(size > 2, size)[keep]
+        other = pivot != shared
+        for kind, x, y in ((STAR, pivot[other], shared[other]), (MEMBER, name[many], shared[many])):
+            if len(x):
+                rows = np.unique(np.stack([x, y], 1), axis=0)
+                yield frame(kind, rows[:, 0], rows[:, 1])
 
     def bucket(batches):
-        part, keys, nodes, held, hubs = 0, [], [], 0, set()
-        limit = 8 * PART
+        part, keys, nodes, held, limit, cut = 0, [], [], 0, 8 * PART, set()
+
+        def merged(last):
+            nonlocal keys, nodes, held, limit
+            ks, vs, first, size = grouped(np.concatenate(keys), np.concatenate(nodes))
+            own = (np.int64(part) << np.int64(32)) + ks[first].astype(np.int64)
+            earlier = np.isin(ks[first], np.fromiter(cut, np.uint32, len(cut)))
+            if last:
+                with np.errstate(over="ignore"):
+                    sums = np.add.reduceat(common.mix64(vs.view(np.uint64)), first)
+                names = np.where(earlier, own, sums.view(np.int64))
+                yield from emit(vs, first, size, names)
+                return
+            # the buffer is full: large groups go out now and leave their smallest node
+            big = size > LARGE
+            pick = np.repeat(big, size)
+            starts = np.concatenate([[0], np.cumsum(size[big])])[:-1].astype(np.int64)
+            if big.any():
+                yield from emit(vs[pick], starts, size[big], own[big])
+            cut.update(ks[first[big]].tolist())
+            keep = ~pick
+            keep[first] = True
+            keys, nodes = [ks[keep]], [vs[keep]]
+            held = int(keep.sum())
+            limit = max(limit, 2 * held)
+
         for batch in batches:
             for p, k, v in zip(batch["part"], batch["keys"], batch["nodes"], strict=True):
                 if held and p != part:
-                    yield from finish(part, keys, nodes, hubs)
-                    keys, nodes, held, hubs = [], [], 0, set()
+                    yield from merged(True)
+                    keys, nodes, held, limit, cut = [], [], 0, 8 * PART, set()
                 part = int(p)
                 keys.append(np.frombuffer(k, np.uint32))
                 nodes.append(np.frombuffer(v, np.int64))
                 held += len(keys[-1])
                 if held >= limit:
-                    ks, vs, first, size = grouped(np.concatenate(keys), np.concatenate(nodes))
-                    big = size > HUB
-                    yield from hubs_of(part, ks, vs, first, size, big)
-                    hubs.update(ks[first[big]].tolist())
-                    keep = np.repeat(~big, size)
-                    keep[first] = True
-                    keys, nodes = [ks[keep]], [vs[keep]]
-                    held = int(keep.sum())
-                    limit = max(limit, 2 * held)
+                    yield from merged(False)
         if held:
-            yield from finish(part, keys, nodes, hubs)
-
-    def finish(part, keys, nodes, hubs):
-        ks, vs, first, size = grouped(np.concatenate(keys), np.concatenate(nodes))
-        big = size > HUB
-        if hubs:
-            big |= np.isin(ks[first], np.fromiter(hubs, np.uint32, len(hubs))) & (size > 1)
-        yield from hubs_of(part, ks, vs, first, size, big)
-        star, pair = [], []
-        for n in np.unique(size[(size > 1) & ~big]).tolist():
-            at = first[(size == n) & ~big]
-            i, j = np.triu_indices(n, 1)
-            both = np.stack([vs[(at[:, None] + i).ravel()], vs[(at[:, None] + j).ravel()]], 1)
-            lead = np.tile(i == 0, len(at))
-            star.append(both[lead])
-            pair.append(both[~lead])
-        for kind, found in ((STAR, star), (PAIR, pair)):
-            if found:
-                found = np.unique(np.concatenate(found), axis=0)
-                yield frame(kind, found[:, 0], found[:, 1])
+            yield from merged(True)
 
     return (
         blocks.repartitionById(parts, F.col("part"))
@@ -318,33 +325,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def apart(found: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of nodes of one bucket that lie in different components."""
-    a = label.select(F.col("node").alias("na"), F.col("comp").alias("ca"))
-    b = label.select(F.col("node").alias("nb"), F.col("comp").alias("cb"))
-    pairs = (
-        found.where(f"kind = {PAIR}").select("a", "b").distinct()
-        .join(a, F.col("a") == F.col("na"), "left")
-        .join(b, F.col("b") == F.col("nb"), "left")
-        .where("coalesce(ca, a) != coalesce(cb, b)")
-        .select("a", "b")
-    )
+    """Pairs of nodes of one bucket that lie in different components.
+
+    Buckets inside one component, as those of near copies, are passed over; in the others
+    each pair has an end outside the bucket's largest component."""
     members = (
         found.where(f"kind = {MEMBER}").select(F.col("a").alias("key"), F.col("b").alias("x")).distinct()
-        .join(a, F.col("x") == F.col("na"), "left")
-        .select("key", "x", F.coalesce("ca", "x").alias("c"))
+        .join(label, F.col("x") == F.col("node"), "left")
+        .select("key", "x", F.coalesce("comp", "x").alias("c"))
     )
+    members = common.stage(members, "join-members")
     counted = members.groupBy("key", "c").agg(F.count("*").alias("n"))
     main = counted.groupBy("key").agg(
         F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("many")
     ).where("many > 1").select("key", "main")
     open_ = common.stage(members.join(main, "key"), "join-open")
     out = open_.where("c != main").select("key", F.col("x").alias("u"), F.col("c").alias("cu"))
-    cross = (
+    return (
         out.join(open_, "key")
         .where("cu != c AND (c = main OR u < x)")
         .select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b"))
+        .distinct()
     )
-    return pairs.union(cross).distinct()
 
 
 def ngram_components(
@@ -357,11 +359,9 @@ def ngram_components(
         F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")
     )
     names = common.stage(names, "join-names")
-    total, sets = names.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    parts = max(8, math.ceil(total * 0.6 / PART))
-    # the more sets, the more of them share a passage: collisions weigh in proportion
-    collide = max(partenum.COLLIDE, partenum.COLLIDE_SHARE * sets)
-    blocks = signature_blocks(docs, width, percent, parts, collide)
+    total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(8, math.ceil(total * 1.2 / PART))
+    blocks = signature_blocks(docs, width, percent, parts)
     found = common.stage(candidates(blocks, parts), "join-found")
     star = found.where(f"kind = {STAR}").select("a", "b").distinct()
     links = common.stage(verify(star, names, docs, width, percent), "join-links")

@@ -31,9 +31,7 @@ GROWTH = 1.5
 LEVELS = 4
 #: Words of a passage that unrelated documents may share, for the cost.
 PASSAGE = 50
-COLLIDE = 3000.0
-#: The weight of a collision for each set of the corpus.
-COLLIDE_SHARE = 0.03
+COLLIDE = 100_000.0
 
 
 @dataclass(frozen=True)
