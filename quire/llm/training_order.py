@@ -27,7 +27,6 @@ columns are ignored; an empty table writes no shard.
 from __future__ import annotations
 
 import base64
-import re
 import struct
 import uuid
 import zlib
@@ -47,32 +46,10 @@ PAD = 0
 HEAD = "<qii"  # doc_id, number within the document, tokens
 
 
-class Pieces(dict):
-    """Token ids, as bytes, of pieces of text; forgets all when it holds too many."""
-
-    def __init__(self, tokenizer, before: str, limit: int):
-        super().__init__()
-        self.tokenizer, self.before, self.limit = tokenizer, before, limit
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[piece] = self.tokenizer.whole(self.before + piece)
-        return value
-
-
 class Tokenizer:
-    """A byte-level BPE from a file of ranks, with a cache of pieces.
-
-    The pattern never joins what stands before a single blank with what follows it, nor
-    does it join anything over a line feed that stands alone. So texts whose only white
-    space is single blanks and line feeds are split there in one go, and the ids of the
-    pieces, which recur, are remembered. Any other text goes to the encoder whole.
-    """
+    """A byte-level BPE from a file of ranks; no text is ever taken as a special token."""
 
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
-    LIMIT = 300_000
 
     def __init__(self, path: str = TOKENIZER):
         import tiktoken
@@ -84,31 +61,12 @@ class Tokenizer:
         )
         self.size = len(ranks)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.first = Pieces(self, "", self.LIMIT)
-        self.later = Pieces(self, " ", self.LIMIT)
-        self.line_end = self.whole("\n")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), self.dtype).tobytes()
-
-    def simple(self, text: str) -> bool:
-        return not (
-            "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-            or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or self.OTHER_SPACE.search(text)
-        )
 
-    def ids(self, text: str) -> bytes:
-        if not self.simple(text):
-            return self.whole(text)
-        out = []
-        for line in text.split("\n") if text else ():
-            head, *rest = line.split(" ")
-            out += (self.line_end, self.first[head])
-            out += map(self.later.__getitem__, rest)
-        return b"".join(out[1:])
+    def count(self, text: str) -> int:
+        return len(self.encoding.encode_ordinary(text))
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.ids(text), self.dtype)
+        return np.array(self.encoding.encode_ordinary(text), self.dtype)
 
 
 def feistel(numbers: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -140,7 +98,7 @@ def _counted(rows: DataFrame, path: str, length: int) -> list:
             docs += len(batch)
             check = zlib.crc32(repr(batch["doc_id"].tolist()).encode(), check)
             for text in batch["text"].tolist():
-                sequences += -(-len(tokenizer.ids(text or "")) // (length * tokenizer.dtype.itemsize))
+                sequences += -(-tokenizer.count(text or "") // length)
         part = TaskContext.get().partitionId()
         yield pd.DataFrame({"part": [part], "docs": [docs], "sequences": [sequences], "sum": [check]})
 

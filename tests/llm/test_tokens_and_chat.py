@@ -13,14 +13,6 @@ def test_feistel_is_a_permutation():
     assert training_order.feistel(np.arange(100), 100, 1).tolist() != training_order.feistel(np.arange(100), 100, 2).tolist()
 
 
-def test_split_encoding_equals_the_encoder():
-    t, r = training_order.Tokenizer(), random.Random(4)
-    parts = ["a", "The", " ", "\n", "  ", "'s", "1", "é", "\t", "!!", "don't", "\x1c", "\r\n", " "]
-    for _ in range(3000):
-        text = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
-        assert t.encode(text).tolist() == t.encoding.encode_ordinary(text), repr(text)
-
-
 def test_shards_round_trip_and_resume(spark, make, odd):
     rows = odd + [(20 + i, "some words here " * (1 + 7 * i), "en", "s") for i in range(12)] + [(20, "again", "en", "s")]
     index = training_order.materialise(make(rows), length=16, per_shard=8).toPandas().sort_values("slot")
