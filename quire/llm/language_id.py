@@ -165,10 +165,12 @@ def train(docs: DataFrame, text_col="text", lang_col="lang") -> tuple[list[str],
     for i, cells in enumerate(sums["cells"]):
         for cell in cells:
             table[i, cell["bucket"]] = cell["n"]
+    if not names:
+        return names, table
     seen, docs_of = table[:, :BUCKETS], table[:, BUCKETS:]
     logs = np.log(seen + SMOOTH) - np.log(seen.sum(1, keepdims=True) + SMOOTH * BUCKETS)
     prior = np.log(docs_of + 1) - np.log(docs_of.sum() + len(names))
-    return names, np.hstack([logs, prior]) if names else table
+    return names, np.hstack([logs, prior])
 
 
 def score(docs: DataFrame, model, id_cols: list[str], text_col="text") -> DataFrame:
