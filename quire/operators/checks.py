@@ -20,7 +20,7 @@ def issue_counts(text: Column) -> dict[str, Column]:
     plain = F.regexp_replace(text, r"(?s)\\.", "")
     left = F.regexp_count(text, F.lit(r"\\left(?![A-Za-z])"))
     right = F.regexp_count(text, F.lit(r"\\right(?![A-Za-z])"))
-    paragraphs = F.split(plain, r"\n[ \t]*\n")
+    paragraphs = F.split(plain, "\n\n")
     odd = F.filter(paragraphs, lambda p: F.regexp_count(p, F.lit(r"\$")) % 2 == 1)
     return {
         "control character": F.regexp_count(text, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")),

@@ -408,7 +408,7 @@ def construct_counts(spark, d):
 
 @query(
     r"""WITH p AS (SELECT doc_id AS doc_key, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '\\.', '', 'gs') AS plain FROM documents),
-i AS (SELECT doc_key, 'odd dollars' AS kind, len(list_filter(string_split_regex(plain, '\n[ \t]*\n'), lambda x: (length(x) - length(replace(x, '$', ''))) % 2 = 1)) AS n FROM p
+i AS (SELECT doc_key, 'odd dollars' AS kind, len(list_filter(string_split(plain, chr(10) || chr(10)), lambda x: (length(x) - length(replace(x, '$', ''))) % 2 = 1)) AS n FROM p
 UNION ALL SELECT doc_key, 'empty maths', len(regexp_extract_all(plain, '\$[ \t]*\$')) FROM p
 UNION ALL SELECT doc_key, 'control character', len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')) FROM p)
 SELECT doc_key, kind, CAST(n AS BIGINT) AS n FROM i WHERE n > 0"""
