@@ -164,3 +164,17 @@ def test_registry_and_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert latex.PAGE_BREAK == "\n\x0c\n"
+
+
+def test_blocks(spark):
+    from quire.operators import blocks
+
+    rows = [
+        ("section", 50.0, "Sets"), ("text", 60.0, "First exam-"), ("text", 50.0, "ple line"), ("label", 50.0, "Note"),
+        ("display", 80.0, "x=1"), ("text", 60.0, "again"), ("blank", 0.0, ""), ("center", 99.0, "a"), ("center", 99.0, "b"), ("label", 50.0, "lost"),
+    ]
+    groups = spark.createDataFrame([(1, 0, i, k, x, 50.0, t) for i, (k, x, t) in enumerate(rows)],
+                                   "doc_key long, page_idx int, reading int, kind string, x0 double, region_left double, latex string")
+    assert blocks.page_text(groups).first().text == (
+        "\\section{Sets}\n\nFirst example line\n\n\\[x=1\\]\n\n\\textbf{Note} again\n\n\\begin{center}\na \\\\\nb\n\\end{center}"
+    )
