@@ -5,9 +5,10 @@ Buckets are not expanded into all their pairs at once:
 
 1. Every member is compared with its bucket's smallest member; the links give
    components.
-2. In buckets whose members still lie in different components, the pairs with an end
-   outside the bucket's largest component are compared. Nothing is capped; a bucket
-   whose members are all connected, as with groups of near copies, costs no more.
+2. In buckets whose members still lie in different components, nodes outside the
+   largest one are compared with a member of it drawn by hash, for ``TURNS`` turns; then
+   all pairs that still lie in different components are. Nothing is capped; a bucket whose
+   members are all connected, as with groups of near copies, costs no more.
 
 So links between different texts may go uncounted only inside a component, and
 the components are those of all links. Equal sets are one *node*; each task
@@ -38,6 +39,8 @@ from quire.llm import common, partenum
 
 WIDTH = 4
 PERCENT = 85
+#: Turns in which nodes are compared with single members, before all pairs are.
+TURNS = 2
 #: Members of a bucket that a full buffer lets go.
 LARGE = 64
 BUFFER = 1 << 20
@@ -324,25 +327,36 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def apart(found: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of nodes of one bucket that lie in different components.
-
-    Buckets inside one component, as those of near copies, are passed over; in the others
-    each pair has an end outside the bucket's largest component."""
-    members = (
-        found.where(f"kind = {MEMBER}").select(F.col("a").alias("key"), F.col("b").alias("x")).distinct()
-        .join(label, F.col("x") == F.col("node"), "left")
-        .select("key", "x", F.coalesce("comp", "x").alias("c"))
+def open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
+    """key, x, c, main: members, their components and the bucket's largest component, of
+    buckets with more than one component."""
+    rows = members.join(label, F.col("x") == F.col("node"), "left").select(
+        "key", "x", F.coalesce("comp", "x").alias("c")
     )
-    members = common.stage(members, "join-members")
-    counted = members.groupBy("key", "c").agg(F.count("*").alias("n"))
+    counted = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
     main = counted.groupBy("key").agg(
         F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("many")
     ).where("many > 1").select("key", "main")
-    open_ = common.stage(members.join(main, "key"), "join-open")
-    out = open_.where("c != main").select("key", F.col("x").alias("u"), F.col("c").alias("cu"))
+    return common.stage(rows.join(main, "key"), "join-open")
+
+
+def pivot_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Every node outside its bucket's largest component with one member of that, drawn by
+    hash: a group's many buckets give a node many members, in all as many pairs as nodes
+    have buckets."""
+    pivot = rows.where("c = main").groupBy("key").agg(
+        F.min_by("x", F.xxhash64("key", "x", F.lit(turn))).alias("pivot")
+    )
+    return rows.where("c != main").join(pivot, "key").select(
+        F.least("x", "pivot").alias("a"), F.greatest("x", "pivot").alias("b")
+    ).distinct()
+
+
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs of a bucket in different components: one end is outside the largest."""
+    out = rows.where("c != main").select("key", F.col("x").alias("u"), F.col("c").alias("cu"))
     return (
-        out.join(open_, "key")
+        out.join(rows, "key")
         .where("cu != c AND (c = main OR u < x)")
         .select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b"))
         .distinct()
@@ -363,14 +377,23 @@ def ngram_components(
     parts = max(8, math.ceil(total * 1.2 / PART))
     blocks = signature_blocks(docs, width, percent, parts)
     found = common.stage(candidates(blocks, parts), "join-found")
-    star = found.where(f"kind = {STAR}").select("a", "b").distinct()
-    links = common.stage(verify(star, names, docs, width, percent), "join-links")
+    tested = found.where(f"kind = {STAR}").select("a", "b").distinct()
+    links = common.stage(verify(tested, names, docs, width, percent), "join-links")
     label = components(links)
-    rest = common.stage(apart(found, label).join(star, ["a", "b"], "left_anti"), "join-rest")
-    if not rest.isEmpty():
-        more = common.stage(verify(rest, names, docs, width, percent), "join-links")
+    members = found.where(f"kind = {MEMBER}").select(F.col("a").alias("key"), F.col("b").alias("x")).distinct()
+    members = common.stage(members, "join-members")
+    for turn in range(TURNS + 1):
+        members = open_buckets(members, label)
+        if members.isEmpty():
+            break
+        pairs = pivot_pairs(members, turn) if turn < TURNS else cross_pairs(members)
+        pairs = common.stage(pairs.join(tested, ["a", "b"], "left_anti"), "join-rest")
+        tested = tested.union(pairs)
+        more = common.stage(verify(pairs, names, docs, width, percent), "join-links")
         if not more.isEmpty():
-            label = components(links.union(more))
+            links = links.union(more)
+            label = components(links)
+        members = members.select("key", "x")
     least = (
         label.join(names, "node").groupBy("comp").agg(F.min("id").alias("component_id"))
         .join(label, "comp").select("node", "component_id")
