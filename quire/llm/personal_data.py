@@ -38,7 +38,9 @@ MIN_CANDIDATES = 20
 ROUNDS = 50
 CUE_WINDOW = 40
 
-_ANY = re.compile("[0-9@]|\\bat\\b", re.I)
+_ANY = re.compile("[0-9@]")
+#: Without one of these, no spelled-out address can match.
+_SPELLED = tuple(a + dot + b for dot in ("dot", "DOT") for a in "[(" for b in ")]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 # a digit run's own start begins the leftmost match, so later digits need no try
@@ -127,9 +129,12 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]):
     for kind in KINDS:
         for a, b in base[kind]:
             yield kind, a, b, True
-    if not _ANY.search(text):
+    spelled = any(x in text for x in _SPELLED)
+    if not spelled and not _ANY.search(text):
         return
     for kind in KINDS:
+        if kind == "email" and not spelled:
+            continue
         taken, k = base[kind], 0
         for m in _TIGHT[kind].finditer(text):
             a, b = m.span()
