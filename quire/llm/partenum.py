@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
@@ -91,8 +90,18 @@ def allocate(number: int, low: int, high: int, percent: int, collide: float) ->
     return best[1]
 
 
-@lru_cache(maxsize=None)
+#: Schemes made so far; a plain dict, as it must travel to workers with the code.
+_made: dict[tuple, Scheme] = {}
+
+
 def scheme(number: int, percent: int, collide: float = COLLIDE) -> Scheme:
+    key = number, percent, collide
+    if key not in _made:
+        _made[key] = _scheme(number, percent, collide)
+    return _made[key]
+
+
+def _scheme(number: int, percent: int, collide: float) -> Scheme:
     low = 1
     for _ in range(number):
         low = max(low, int(low * GROWTH)) + 1
