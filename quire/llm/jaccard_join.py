@@ -161,7 +161,7 @@ STAR, MEMBER = 0, 1
 
 def candidates(blocks: DataFrame, parts: int) -> DataFrame:
     """kind, a, b. STAR: a bucket's smallest node and another node of it. MEMBER: the
-    name of a bucket of three nodes or more, and a node of it.
+    name of a bucket of three nodes or more, over all its groups, and a node of it.
 
     Buckets with the same nodes have the same name, the hash of their nodes, so that the
     many buckets of a group of near copies count once."""
@@ -179,13 +179,14 @@ def candidates(blocks: DataFrame, parts: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         return keys, nodes, first, np.diff(np.append(first, len(keys)))
 
-    def emit(nodes, first, size, names):
-        """Rows of all groups of two or more; ``names`` of groups."""
+    def emit(nodes, first, size, names, earlier):
+        """Rows of all groups of two or more; ``names`` of groups. ``earlier``: groups
+        whose bucket has sent out members before."""
         keep = np.repeat(size > 1, size)
         shared = nodes[keep]
         pivot = np.repeat(nodes[first], size)[keep]
         name = np.repeat(names, size)[keep]
-        many = np.repeat(size > 2, size)[keep]
+        many = np.repeat((size > 2) | earlier, size)[keep]
         other = pivot != shared
         for kind, x, y in ((STAR, pivot[other], shared[other]), (MEMBER, name[many], shared[many])):
             if len(x):
@@ -204,14 +205,14 @@ def candidates(blocks: DataFrame, parts: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     sums = np.add.reduceat(common.mix64(vs.view(np.uint64)), first)
                 names = np.where(earlier, own, sums.view(np.int64))
-                yield from emit(vs, first, size, names)
+                yield from emit(vs, first, size, names, earlier)
                 return
             # the buffer is full: large groups go out now and leave their smallest node
             big = size > LARGE
             pick = np.repeat(big, size)
             starts = np.concatenate([[0], np.cumsum(size[big])])[:-1].astype(np.int64)
             if big.any():
-                yield from emit(vs[pick], starts, size[big], own[big])
+                yield from emit(vs[pick], starts, size[big], own[big], earlier[big])
             cut.update(ks[first[big]].tolist())
             keep = ~pick
             keep[first] = True

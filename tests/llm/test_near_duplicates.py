@@ -78,6 +78,20 @@ def test_full_buffers_lose_nothing(make, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jj.ngram_components(make(rows)).collect()} == want
 
 
+def test_a_node_alone_after_a_cut_meets_the_members_sent_before(spark, monkeypatch):
+    monkeypatch.setattr(jj, "PART", 8)
+    # the smallest node is 0; the last one comes alone, after a full buffer let the bucket go
+    early, late = np.arange(jj.LARGE + 6, dtype=np.int64), np.array([500], np.int64)
+    rows = [(0, np.full(len(v), 7, np.uint32).tobytes(), v.tobytes()) for v in (early, late)]
+    blocks = spark.createDataFrame(rows, "part int, keys binary, nodes binary").coalesce(1)
+    found = jj.candidates(blocks, 1).collect()
+    members = {(r.a, r.b) for r in found if r.kind == jj.MEMBER}
+    assert {b for _, b in members} == {*early.tolist(), 500} and len({a for a, _ in members}) == 1
+    label = spark.createDataFrame([(int(v), 0) for v in early], "node long, comp long")
+    rows = jj.open_buckets(spark.createDataFrame(list(members), "key long, x long"), label)
+    assert {(r.a, r.b) for r in jj.cross_pairs(rows).collect()} == {(int(v), 500) for v in early}
+
+
 def test_empty_table_and_repeated_rows(make):
     assert jj.ngram_components(make([])).count() == 0
     rows = [(7, "a b c d e", "en", "s")] * 2
