@@ -32,7 +32,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import common, partenum
@@ -95,8 +95,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
+def row_name() -> Column:
+    """A 64-bit name of a row by its id, which may be null, and its text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def digests(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), node (null if the set is empty) and sketch per row."""
+    """doc_id, row, n (set size), node (null if the set is empty) and sketch per row."""
 
     def measure(batches):
         for batch in batches:
@@ -104,11 +109,16 @@ def digests(docs: DataFrame, width: int) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             node = pd.array([node_of(s) if len(s) else None for s in sets], dtype="Int64")
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "n": n, "node": node, "sketch": [sketch(s) for s in sets]}
+                {
+                    "doc_id": batch["doc_id"], "row": batch["row"], "n": n, "node": node,
+                    "sketch": [sketch(s) for s in sets],
+                }
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInPandas(measure, f"doc_id {kind}, n long, node long, sketch array<long>")
+    return docs.withColumn("row", row_name()).mapInPandas(
+        measure, f"doc_id {kind}, row long, n long, node long, sketch array<long>"
+    )
 
 
 def signature_blocks(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
@@ -241,10 +251,11 @@ def candidates(blocks: DataFrame, parts: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) that are linked. names: node, id, n, sketch.
+    """Those of ``pairs`` (a, b: nodes) that are linked. names: node, row, n, sketch.
 
     Texts are fetched only for pairs whose sizes and sketches allow a link, which
-    loses none: a sketch never shows more difference than there is."""
+    loses none: a sketch never shows more difference than there is. They are fetched by
+    row, because an id may be null."""
     a, b = names.select(*[F.col(c).alias(f"{c}_a") for c in names.columns]), names.select(
         *[F.col(c).alias(f"{c}_b") for c in names.columns]
     )
@@ -253,24 +264,31 @@ def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, perc
         .join(b, F.col("b") == F.col("node_b"))
         .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         .where(f"{sketch_difference('sketch_a', 'sketch_b')} <= n_a + n_b - 2 * ceil({percent} * (n_a + n_b) / {100 + percent}.0)")
-        .select("a", "b", "id_a", "id_b")
+        .select("a", "b", "row_a", "row_b")
     )
     degree = fit.groupBy("a").agg(F.count("*").alias("degree"))
     fit = common.stage(
         fit.join(degree, "a").select(
-            "a", "b", "id_a", "id_b",
+            "a", "b", "row_a", "row_b",
             F.expr(f"pmod(xxhash64(b), degree div {FAN} + 1)").alias("fan"),
         ),
         "join-pairs",
     )
-    ids = fit.select(F.col("id_a").alias("id")).union(fit.select("id_b")).distinct()
+    ids = fit.select(F.col("row_a").alias("row")).union(fit.select("row_b")).distinct()
     ids = common.stage(ids, "join-ids")
     few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    texts = common.stage(texts.join(F.broadcast(ids) if few else ids, "id"), "join-texts")
-    others = fit.select("a", "fan", F.col("id_b").alias("id"), F.col("b").alias("node"), F.lit(1).alias("role"))
-    pivots = fit.select("a", "fan", F.col("id_a").alias("id"), F.col("a").alias("node"), F.lit(0).alias("role"))
-    sides = pivots.distinct().unionByName(others).join(texts, "id").select("a", "fan", "role", "node", "text")
+
+    def fetched(rows):
+        return rows.select(row_name().alias("row"), "text").join(F.broadcast(ids) if few else ids, "row")
+
+    # copies without an id are one row here, however many there are
+    texts = fetched(docs.where("doc_id IS NOT NULL")).unionByName(
+        fetched(docs.where("doc_id IS NULL")).dropDuplicates(["row", "text"])
+    )
+    texts = common.stage(texts, "join-texts")
+    others = fit.select("a", "fan", F.col("row_b").alias("row"), F.col("b").alias("node"), F.lit(1).alias("role"))
+    pivots = fit.select("a", "fan", F.col("row_a").alias("row"), F.col("a").alias("node"), F.lit(0).alias("role"))
+    sides = pivots.distinct().unionByName(others).join(texts, "row").select("a", "fan", "role", "node", "text")
 
     def compare(batches):
         at, pivot = None, None
@@ -281,7 +299,7 @@ def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, perc
             ):
                 s = shingle_set(text, width)
                 if not len(s) or node_of(s) != node:
-                    continue  # another row with the same id
+                    continue  # another row with the same name
                 if role == 0:
                     at, pivot = (a, fan), s
                 elif at == (a, fan) and linked(pivot, s, percent):
@@ -371,8 +389,9 @@ def ngram_components(
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = common.stage(digests(docs, width), "join-digests")
     names = rows.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")
-    )
+        F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("least"),
+        F.max("n").alias("n"), F.first("sketch").alias("sketch"),
+    ).select("node", F.col("least.doc_id").alias("id"), F.col("least.row").alias("row"), "n", "sketch")
     names = common.stage(names, "join-names")
     total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(8, math.ceil(total * 1.2 / PART))

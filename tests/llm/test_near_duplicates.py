@@ -98,6 +98,18 @@ def test_empty_table_and_repeated_rows(make):
     assert [tuple(r) for r in jj.ngram_components(make(rows)).collect()] == [(7, 2, 7)] * 2
 
 
+def test_rows_without_an_id_are_linked(make):
+    r = random.Random(4)
+    base = [f"w{r.randrange(999)}" for _ in range(200)]
+    # each shares nine tenths with its neighbours; only the null row links the other two
+    shift = lambda k: " ".join([*base[k:], *(f"x{i}" for i in range(k))])
+    rows = [(7, shift(0), "en", "s"), (None, shift(12), "en", "s"), (None, shift(12), "en", "s"), (9, shift(24), "en", "s")]
+    rows += [(3, "quite another text than these are", "en", "s")]
+    assert not jj.linked(jj.shingle_set(rows[0][1], 4), jj.shingle_set(rows[3][1], 4), 85)
+    got = sorted((x.doc_id or 0, x.component_id) for x in jj.ngram_components(make(rows)).collect())
+    assert got == [(0, 7), (0, 7), (3, 3), (7, 7), (9, 7)]
+
+
 def test_linked_sets_always_share_a_signature():
     r = np.random.default_rng(3)
     for trial in range(400):
