@@ -3,7 +3,8 @@
 1. language_id: documents of no recognisable language go, as do those whose
    language is less sure than ``MIN_SCORE``.
 2. near_duplicates: of every group linked by five-word shingles at a similarity of
-   0.8 or more, the document with the smallest id stays.
+   0.8 or more, the document with the smallest id stays. Rows that share an id are one
+   document only if their texts are equal as well; of near copies with one id, one stays.
 3. decontaminate: documents with a window that is a near copy of a benchmark item go.
 4. mix: every document is repeated as often as the source mix reads it.
 5. token_ids: sequences of token ids get a training order and are written to shards;
@@ -43,11 +44,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = common.stage(
-        jaccard_join.ngram_components(docs, WIDTH, PERCENT).where("doc_id IS NOT NULL"), "pipeline-groups"
+        jaccard_join.row_components(docs, WIDTH, PERCENT).where("doc_id IS NOT NULL"), "pipeline-groups"
     )
-    gone = groups.where("component_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    # rows that share an id are one document if their texts are equal as well
+    gone = groups.where("component_id != doc_id OR component_row != row").select(
+        F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")
+    ).distinct()
+    kept = docs.join(
+        small(gone),
+        (F.col("doc_id") == F.col("gone_id")) & (jaccard_join.row_name() == F.col("gone_row")),
+        "left_anti",
+    ).select(*docs.columns)
+    # of equal rows one stays
     again = small(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return kept

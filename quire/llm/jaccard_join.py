@@ -100,6 +100,11 @@ def row_name() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def first_row(id_col: str, row_col: str) -> Column:
+    """What the first row has the least of: an id, where there is one, and a name."""
+    return F.struct(F.isnull(id_col).alias("none"), F.col(id_col).alias("id"), F.col(row_col).alias("row"))
+
+
 def digests(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, row, n (set size), node (null if the set is empty) and sketch per row."""
 
@@ -386,12 +391,20 @@ def ngram_components(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per row of ``docs``."""
+    return row_components(docs, width, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def row_components(
+    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, component_row: a row per row of ``docs``, and
+    of its component the least id with the least name of a row with that id."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = common.stage(digests(docs, width), "join-digests")
     names = rows.where("n > 0").groupBy("node").agg(
-        F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("least"),
+        F.min(first_row("doc_id", "row")).alias("least"),
         F.max("n").alias("n"), F.first("sketch").alias("sketch"),
-    ).select("node", F.col("least.doc_id").alias("id"), F.col("least.row").alias("row"), "n", "sketch")
+    ).select("node", F.col("least.id").alias("id"), F.col("least.row").alias("row"), "n", "sketch")
     names = common.stage(names, "join-names")
     total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(8, math.ceil(total * 1.2 / PART))
@@ -415,17 +428,20 @@ def ngram_components(
             label = components(links)
         members = members.select("key", "x")
     least = (
-        label.join(names, "node").groupBy("comp").agg(F.min("id").alias("component_id"))
-        .join(label, "comp").select("node", "component_id")
-    )
-    known = names.select("node", "id").join(least, "node", "left").select(
-        "node", F.coalesce("component_id", "id").alias("component_id")
+        label.join(names, "node").groupBy("comp").agg(F.min(first_row("id", "row")).alias("least"))
+        .join(label, "comp").select("node", "least")
     )
+    known = names.select("node", first_row("id", "row").alias("own")).join(least, "node", "left").select(
+        "node", F.coalesce("least", "own").alias("least")
+    ).select("node", F.col("least.id").alias("component_id"), F.col("least.row").alias("component_row"))
     out = rows.where("n > 0").join(known, "node").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id"
+        "doc_id", "row", F.col("n").alias("n_shingles"), "component_id", "component_row"
     )
     return out.unionByName(
-        rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        rows.where("n = 0").select(
+            "doc_id", "row", F.col("n").alias("n_shingles"),
+            F.col("doc_id").alias("component_id"), F.col("row").alias("component_row"),
+        )
     )
 
 

@@ -25,6 +25,16 @@ def test_stages_keep_their_promises(spark):
     assert sorted(index.slot) == list(range(len(index))) and set(index.doc_id) <= ids
 
 
+def test_near_duplicates_are_rows_not_ids(make, spark):
+    base = [f"w{k}" for k in range(100)]
+    near = lambda word: " ".join([*base[:50], word, *base[51:]])
+    rows = [(1, near("a")), (7, near("b")), (7, "a text that is no copy of any other one here")]
+    rows += [(9, " ".join(f"v{k}" for k in range(80))), (9, " ".join(f"v{k}" for k in range(81)))] * 2
+    kept = cp.drop_near_duplicates(spark, make([(i, t, "en", "a") for i, t in rows]), SF).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 7, 9]
+    assert {(r.doc_id, r.text) for r in kept} >= {rows[0], rows[2]}
+
+
 def test_odd_rows_pass(make, odd, spark):
     rows = odd + [(None, "the of and to in " * 20, "en", "a"), (10, "the of and to in that it is was " * 10, "en", "a")] * 2
     docs = make(rows)
