@@ -15,8 +15,8 @@ classifier on the same table, whose verdict adds candidates to the base spans.
 
 Offsets are code points, ends exclusive. Defined results: null text counts as empty
 and has no span; candidates that overlap a kept span of their kind are not added;
-repeated rows are searched each; with too few candidates to learn from, only base
-spans are returned; other columns are ignored. All scans are linear in the text.
+repeated rows are searched each; with few candidates the priors of the estimate
+decide; other columns are ignored. All scans are linear in the text.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from quire.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.5
-MIN_CANDIDATES = 20
 ROUNDS = 50
 CUE_WINDOW = 40
 
@@ -233,7 +232,7 @@ class Classifier:
 
     def __init__(self, table: pd.DataFrame | None):
         self.weights = None
-        if table is None or table["n"].sum() < MIN_CANDIDATES:
+        if table is None or not table["n"].sum():
             return
         v = table[[f"v{i}" for i in range(len(LABELERS))]].to_numpy(int)
         n = table["n"].to_numpy(float)

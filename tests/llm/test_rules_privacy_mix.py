@@ -95,6 +95,14 @@ def test_classifier_adds_what_ran_together(make, odd):
     assert personal_data.Classifier(personal_data.pattern_counts(make(odd))).weights is None
 
 
+def test_small_tables_are_judged_as_well(make):
+    rows = [(90, "tel +1 (555) 010-7788 190.137.223.204 end", None, None), (91, "order 1234 5678 1234 5678", None, None)]
+    docs = make(rows)
+    model = personal_data.Classifier(personal_data.pattern_counts(docs))
+    out = {x.doc_id: [tuple(s) for s in x.spans] for x in personal_data.find_spans(docs, model).collect()}
+    assert ("phone", 4, 21) in out[90] and [s for s in out[91] if s[0] == "card"] == []
+
+
 def test_mix_meets_targets(make, odd):
     r = random.Random(2)
     rows = odd + [(10 + i, "w " * r.randint(1, 400), None, r.choice(["a", "b", "c", None, "é"])) for i in range(300)]
