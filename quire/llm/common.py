@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -22,16 +27,68 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        # Only reached where the cluster names no folder, as in local tests.
-        base = "file://" + tempfile.mkdtemp(prefix="quire-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quire-")  # one machine, as in tests
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to shared storage and read it again."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scope().stage(df, name)
+
+
+class Scope:
+    """Staged tables that can be deleted once what was made of them is staged as well."""
+
+    def __init__(self):
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(df.sparkSession, name)
+        df.write.parquet(path)
+        back = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.paths[id(back)] = back, path
+        return back
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete the files of a table that this scope staged; other tables are left alone."""
+        back, path = self.paths.pop(id(df), (None, None))
+        if back is None:
+            return
+        spark = back.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+class Shared:
+    """A broadcast value whose classes travel by value too, as functions do; a task should
+    read ``value`` once."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return pickle.loads(self.held.value)
+
+
+def map_ids(df: DataFrame, function, schema: str) -> DataFrame:
+    """``function`` over Arrow batches, where ids need not become Python or numpy numbers.
+
+    It yields (ids, columns): the first column of the result, taken from the batch as Arrow, so
+    that null and large ids come back as they are; and the others, as lists or arrays."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for ids, columns in function(batches):
+            rest = [
+                x if isinstance(x, pa.Array) else pa.array(x, kind)
+                for x, kind in zip(columns, kinds.types[1:], strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([ids, *rest], names=kinds.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def key_text(column: str) -> Column:

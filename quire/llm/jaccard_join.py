@@ -1,14 +1,20 @@
 """Exact n-gram Jaccard self-join by universe partition, and its components.
 
 Signatures (see ``partenum``) put every two linked sets into a common bucket.
-Buckets are not expanded into all their pairs at once:
+Buckets are not expanded into all their pairs:
 
 1. Every member is compared with its bucket's smallest member; the links give
    components.
-2. In buckets whose members still lie in different components, nodes outside the
-   largest one are compared with a member of it drawn by hash, for ``TURNS`` turns; then
-   all pairs that still lie in different components are. Nothing is capped; a bucket whose
-   members are all connected, as with groups of near copies, costs no more.
+2. Buckets whose members still lie in different components are *open*. Nodes outside the
+   largest component of an open bucket are compared with a member of it drawn by hash, for
+   ``TURNS`` turns. A bucket whose members are all connected, as with groups of near
+   copies, costs no more.
+3. Nodes of buckets that stay open are told apart by their rarest elements: a linked pair
+   shares one of the first ``n - ceil(p n) + 1`` elements of both sets in any one order of
+   all elements, and the places where it is first shared bound what the two have in common.
+   In an order by rarity, sets with a dozen elements of their own meet hardly anyone. Nodes
+   of different components that meet, and whose sizes and places allow a link, are compared.
+   Nothing is capped.
 
 So links between different texts may go uncounted only inside a component, and
 the components are those of all links. Equal sets are one *node*; each task
@@ -16,8 +22,9 @@ sends a node's signatures once, so a group of copies costs a task no more than
 one document. Signatures travel as packed arrays of 12 bytes each, dealt by key.
 
 Sets are held as 64-bit hashes of shingles. Memory: a task holds one text, a
-buffer of ``BUFFER`` signatures, or a part of about ``PART`` signatures; a bucket
-that outgrows its part is cut down to its smallest member as it streams past.
+buffer of ``BUFFER`` signatures, a part of about ``PART`` signatures, or ``COUNTERS``
+counts; a bucket that outgrows its part is cut down to its smallest member as it streams
+past. Staged tables are deleted as soon as what is made of them is staged.
 
 Defined results: null or blank texts have no shingles and are linked with
 nothing, their own component; fewer words than the width are one shingle; rows
@@ -32,6 +39,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,19 +47,24 @@ from quire.llm import common, partenum
 
 WIDTH = 4
 PERCENT = 85
-#: Turns in which nodes are compared with single members, before all pairs are.
+#: Turns in which nodes of open buckets are compared with single members.
 TURNS = 2
 #: Members of a bucket that a full buffer lets go.
 LARGE = 64
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 PART = 1 << 20
+#: Parts that are partitions of their own; more share one and come in order.
+MAX_PARTS = 20_000
 SEEN = 1 << 20
+#: Counters of elements of nodes in open buckets; they only choose an order.
+COUNTERS = 1 << 20
+CHUNK = 1 << 14
 #: Bits of a set's sketch at least.
 MIN_SKETCH = 512
 #: Pivots whose texts are sent once per so many comparisons.
 FAN = 256
-#: Ids that may be broadcast: 300,000 of 8 bytes.
-BROADCAST_IDS = 300_000
+#: Names that may be broadcast, of 8 bytes each.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -110,18 +123,19 @@ def digests(docs: DataFrame, width: int) -> DataFrame:
 
     def measure(batches):
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch["text"].tolist()]
-            n = np.array([len(s) for s in sets], np.int64)
-            node = pd.array([node_of(s) if len(s) else None for s in sets], dtype="Int64")
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"], "row": batch["row"], "n": n, "node": node,
-                    "sketch": [sketch(s) for s in sets],
-                }
+            sets = [shingle_set(t, width) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["doc_id"], batch["row"],
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([node_of(x) if len(x) else None for x in sets], pa.int64()),
+                    pa.array([sketch(x) for x in sets], pa.list_(pa.int64())),
+                ],
+                ["doc_id", "row", "n", "node", "sketch"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.withColumn("row", row_name()).mapInPandas(
+    return docs.withColumn("row", row_name()).mapInArrow(
         measure, f"doc_id {kind}, row long, n long, node long, sketch array<long>"
     )
 
@@ -209,7 +223,7 @@ def candidates(blocks: DataFrame, parts: int) -> DataFrame:
                 yield frame(kind, rows[:, 0], rows[:, 1])
 
     def bucket(batches):
-        part, keys, nodes, held, limit, cut = 0, [], [], 0, 8 * PART, set()
+        part, keys, nodes, held, limit, cut = 0, [], [], 0, 3 * PART, set()
 
         def merged(last):
             nonlocal keys, nodes, held, limit
@@ -239,7 +253,7 @@ def candidates(blocks: DataFrame, parts: int) -> DataFrame:
             for p, k, v in zip(batch["part"], batch["keys"], batch["nodes"], strict=True):
                 if held and p != part:
                     yield from merged(True)
-                    keys, nodes, held, limit, cut = [], [], 0, 8 * PART, set()
+                    keys, nodes, held, limit, cut = [], [], 0, 3 * PART, set()
                 part = int(p)
                 keys.append(np.frombuffer(k, np.uint32))
                 nodes.append(np.frombuffer(v, np.int64))
@@ -249,14 +263,27 @@ def candidates(blocks: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from merged(True)
 
+    if parts <= MAX_PARTS:
+        dealt = blocks.repartitionById(parts, F.col("part"))
+    else:
+        at = F.expr(f"cast(part * {MAX_PARTS}L div {parts} as int)")
+        dealt = blocks.repartitionById(MAX_PARTS, at).sortWithinPartitions("part")
+    return dealt.mapInPandas(bucket, "kind byte, a long, b long")
+
+
+def named_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """row, text of the given names of rows; equal rows are one."""
+    few = rows.count() <= BROADCAST_IDS
     return (
-        blocks.repartitionById(parts, F.col("part"))
-        .mapInPandas(bucket, "kind byte, a long, b long")
+        docs.select(row_name().alias("row"), "text")
+        .join(F.broadcast(rows) if few else rows, "row")
+        .dropDuplicates(["row", "text"])
     )
 
 
-def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) that are linked. names: node, row, n, sketch.
+def verify(pairs: DataFrame, names: DataFrame, texts, width: int, percent: int, scope: common.Scope) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes) that are linked, staged. names: node, row, n, sketch;
+    ``texts`` gives row and text of at least the rows it is called with.
 
     Texts are fetched only for pairs whose sizes and sketches allow a link, which
     loses none: a sketch never shows more difference than there is. They are fetched by
@@ -264,36 +291,23 @@ def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, perc
     a, b = names.select(*[F.col(c).alias(f"{c}_a") for c in names.columns]), names.select(
         *[F.col(c).alias(f"{c}_b") for c in names.columns]
     )
-    fit = (
+    fit = scope.stage(
         pairs.join(a, F.col("a") == F.col("node_a"))
         .join(b, F.col("b") == F.col("node_b"))
         .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         .where(f"{sketch_difference('sketch_a', 'sketch_b')} <= n_a + n_b - 2 * ceil({percent} * (n_a + n_b) / {100 + percent}.0)")
-        .select("a", "b", "row_a", "row_b")
+        .select("a", "b", "row_a", "row_b"),
+        "join-fit",
     )
     degree = fit.groupBy("a").agg(F.count("*").alias("degree"))
-    fit = common.stage(
-        fit.join(degree, "a").select(
-            "a", "b", "row_a", "row_b",
-            F.expr(f"pmod(xxhash64(b), degree div {FAN} + 1)").alias("fan"),
-        ),
-        "join-pairs",
-    )
-    ids = fit.select(F.col("row_a").alias("row")).union(fit.select("row_b")).distinct()
-    ids = common.stage(ids, "join-ids")
-    few = ids.count() <= BROADCAST_IDS
-
-    def fetched(rows):
-        return rows.select(row_name().alias("row"), "text").join(F.broadcast(ids) if few else ids, "row")
-
-    # copies without an id are one row here, however many there are
-    texts = fetched(docs.where("doc_id IS NOT NULL")).unionByName(
-        fetched(docs.where("doc_id IS NULL")).dropDuplicates(["row", "text"])
+    fanned = fit.join(degree, "a").select(
+        "a", "b", "row_a", "row_b", F.expr(f"pmod(xxhash64(b), degree div {FAN} + 1)").alias("fan")
     )
-    texts = common.stage(texts, "join-texts")
-    others = fit.select("a", "fan", F.col("row_b").alias("row"), F.col("b").alias("node"), F.lit(1).alias("role"))
-    pivots = fit.select("a", "fan", F.col("row_a").alias("row"), F.col("a").alias("node"), F.lit(0).alias("role"))
-    sides = pivots.distinct().unionByName(others).join(texts, "row").select("a", "fan", "role", "node", "text")
+    rows = fit.select(F.col("row_a").alias("row")).union(fit.select("row_b")).distinct()
+    found = texts(rows)
+    others = fanned.select("a", "fan", F.col("row_b").alias("row"), F.col("b").alias("node"), F.lit(1).alias("role"))
+    pivots = fanned.select("a", "fan", F.col("row_a").alias("row"), F.col("a").alias("node"), F.lit(0).alias("role"))
+    sides = pivots.distinct().unionByName(others).join(found, "row").select("a", "fan", "role", "node", "text")
 
     def compare(batches):
         at, pivot = None, None
@@ -312,21 +326,24 @@ def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame, width: int, perc
                     out_b.append(node)
             yield pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
 
-    return (
+    links = scope.stage(
         sides.repartition("a", "fan")
         .sortWithinPartitions("a", "fan", "role")
         .mapInPandas(compare, "a long, b long")
-        .distinct()
+        .distinct(),
+        "join-links",
     )
+    scope.drop(fit)
+    return links
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp: the least node reachable, for every end of an edge."""
+def components(edges: DataFrame, scope: common.Scope) -> DataFrame:
+    """node, comp: the least node reachable, for every end of an edge; staged."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    both = common.stage(both.distinct(), "cc-edges")
-    label = common.stage(
+    both = scope.stage(both.distinct(), "cc-edges")
+    label = scope.stage(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select(
-            "node", F.least("node", "low").alias("comp")
+            "node", F.least("node", "low").alias("comp"), F.lit(None).cast("long").alias("old")
         ),
         "cc-labels",
     )
@@ -340,51 +357,116 @@ def components(edges: DataFrame) -> DataFrame:
             "node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")
         )
         jump = label.select(F.col("node").alias("at"), F.col("comp").alias("to"))
-        after = common.stage(
+        after = scope.stage(
             lower.join(jump, F.col("comp") == F.col("at")).select(
-                "node", "old", F.least("comp", "to").alias("comp")
+                "node", F.least("comp", "to").alias("comp"), "old"
             ),
             "cc-labels",
         )
-        label = after.select("node", "comp")
-        if after.where("comp != old").isEmpty():
+        scope.drop(label)
+        label = after
+        if label.where("comp != old").isEmpty():
+            scope.drop(both)
             return label
 
 
-def open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
-    """key, x, c, main: members, their components and the bucket's largest component, of
-    buckets with more than one component."""
+def open_buckets(members: DataFrame, label: DataFrame, *extra: str) -> DataFrame:
+    """key, x, c, main, extra: members, their components and the bucket's largest component,
+    of buckets with more than one component."""
     rows = members.join(label, F.col("x") == F.col("node"), "left").select(
-        "key", "x", F.coalesce("comp", "x").alias("c")
+        "key", "x", F.coalesce("comp", "x").alias("c"), *extra
     )
-    counted = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
+    counted = rows.groupBy("key", "c").agg(F.count("*").alias("n_c"))
     main = counted.groupBy("key").agg(
-        F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("many")
+        F.max(F.struct("n_c", "c"))["c"].alias("main"), F.count("*").alias("many")
     ).where("many > 1").select("key", "main")
-    return common.stage(rows.join(main, "key"), "join-open")
+    return rows.join(main, "key")
 
 
 def pivot_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """Every node outside its bucket's largest component with one member of that, drawn by
-    hash: a group's many buckets give a node many members, in all as many pairs as nodes
-    have buckets."""
+    hash: alike for buckets with the same members, so as a group's many buckets add few."""
     pivot = rows.where("c = main").groupBy("key").agg(
-        F.min_by("x", F.xxhash64("key", "x", F.lit(turn))).alias("pivot")
+        F.min_by("x", F.xxhash64("x", F.lit(turn))).alias("pivot")
     )
     return rows.where("c != main").join(pivot, "key").select(
         F.least("x", "pivot").alias("a"), F.greatest("x", "pivot").alias("b")
     ).distinct()
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of a bucket in different components: one end is outside the largest."""
-    out = rows.where("c != main").select("key", F.col("x").alias("u"), F.col("c").alias("cu"))
-    return (
-        out.join(rows, "key")
-        .where("cu != c AND (c = main OR u < x)")
-        .select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b"))
-        .distinct()
+def element_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How often elements occur in sets, by the first bits of their hashes."""
+    shift = np.uint64(64 - (COUNTERS.bit_length() - 1))
+
+    def rows(counts):
+        for chunk in range(0, COUNTERS, CHUNK):
+            part = counts[chunk : chunk + CHUNK]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield chunk, at.astype(np.uint32).tobytes(), part[at].tobytes()
+
+    def frame(counts):
+        return pd.DataFrame(list(rows(counts)), columns=["chunk", "at", "counts"])
+
+    def count(batches):
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch["text"].tolist():
+                np.add.at(counts, (shingle_set(text, width) >> shift).astype(np.int64), 1)
+        yield frame(counts)
+
+    def add(batches):
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for chunk, at, n in zip(batch["chunk"], batch["at"], batch["counts"], strict=True):
+                counts[np.frombuffer(at, np.uint32).astype(np.int64) + chunk] += np.frombuffer(n, np.int64)
+        yield frame(counts)
+
+    kind = "chunk int, at binary, counts binary"
+    summed = texts.mapInPandas(count, kind).repartition("chunk").mapInPandas(add, kind)
+    counts = np.zeros(COUNTERS, np.int64)
+    for chunk, at, n in summed.collect():  # COUNTERS entries at most
+        counts[np.frombuffer(at, np.uint32).astype(np.int64) + chunk] += np.frombuffer(n, np.int64)
+    return counts
+
+
+def rare_elements(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """key (an element), x (a node), place, n: the elements of every set that a linked one
+    must share one of, rarest first, and their places among its ``n``."""
+    shift = np.uint64(64 - (COUNTERS.bit_length() - 1))
+    counts = texts.sparkSession.sparkContext.broadcast(element_counts(texts, width).tobytes())
+
+    def pick(batches):
+        seen = np.frombuffer(counts.value, np.int64)
+        for batch in batches:
+            out = []
+            for text in batch["text"].tolist():
+                s = shingle_set(text, width)
+                k = len(s) - -(-percent * len(s) // 100) + 1
+                first = np.lexsort((s, seen[(s >> shift).astype(np.int64)]))[:k]
+                out.append((s[first].view(np.int64), np.full(k, node_of(s)), np.arange(k), np.full(k, len(s))))
+            yield pd.DataFrame(
+                {c: np.concatenate([x[i] for x in out] or [np.zeros(0, np.int64)]) for i, c in enumerate(("key", "x", "place", "n"))}
+            )
+
+    return texts.mapInPandas(pick, "key long, x long, place long, n long")
+
+
+def meeting_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes in different components that share an element (``key``) at places that
+    allow a link. One end is outside the element's largest component."""
+    u = rows.where("c != main").select("key", *[F.col(c).alias(f"{c}_u") for c in ("x", "c", "place", "n")])
+    v = rows.select("key", *[F.col(c).alias(f"{c}_v") for c in ("x", "c", "place", "n")], F.col("main"))
+    fits = (
+        (F.col("c_u") != F.col("c_v"))
+        & ((F.col("c_v") == F.col("main")) | (F.col("x_u") < F.col("x_v")))
+        & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+        & ((100 + percent) * F.least(F.expr("n_u - place_u"), F.expr("n_v - place_v")) >= percent * F.expr("n_u + n_v"))
     )
+    v = v.withColumnRenamed("key", "key_v")
+    return u.join(v, (F.col("key") == F.col("key_v")) & fits).select(
+        F.least("x_u", "x_v").alias("a"), F.greatest("x_u", "x_v").alias("b")
+    ).distinct()
 
 
 def ngram_components(
@@ -399,34 +481,63 @@ def row_components(
 ) -> DataFrame:
     """doc_id, row, n_shingles, component_id, component_row: a row per row of ``docs``, and
     of its component the least id with the least name of a row with that id."""
+    scope = common.Scope()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = common.stage(digests(docs, width), "join-digests")
+    rows = scope.stage(digests(docs, width), "join-digests")
     names = rows.where("n > 0").groupBy("node").agg(
         F.min(first_row("doc_id", "row")).alias("least"),
         F.max("n").alias("n"), F.first("sketch").alias("sketch"),
     ).select("node", F.col("least.id").alias("id"), F.col("least.row").alias("row"), "n", "sketch")
-    names = common.stage(names, "join-names")
+    names = scope.stage(names, "join-names")
     total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(8, math.ceil(total * 1.2 / PART))
-    blocks = signature_blocks(docs, width, percent, parts)
-    found = common.stage(candidates(blocks, parts), "join-found")
-    tested = found.where(f"kind = {STAR}").select("a", "b").distinct()
-    links = common.stage(verify(tested, names, docs, width, percent), "join-links")
-    label = components(links)
-    members = found.where(f"kind = {MEMBER}").select(F.col("a").alias("key"), F.col("b").alias("x")).distinct()
-    members = common.stage(members, "join-members")
-    for turn in range(TURNS + 1):
-        members = open_buckets(members, label)
-        if members.isEmpty():
-            break
-        pairs = pivot_pairs(members, turn) if turn < TURNS else cross_pairs(members)
-        pairs = common.stage(pairs.join(tested, ["a", "b"], "left_anti"), "join-rest")
-        tested = tested.union(pairs)
-        more = common.stage(verify(pairs, names, docs, width, percent), "join-links")
+    parts = max(8, math.ceil(total * partenum.PER_ELEMENT / PART))
+    found = scope.stage(candidates(signature_blocks(docs, width, percent, parts), parts), "join-found")
+    tested = scope.stage(found.where(f"kind = {STAR}").select("a", "b").distinct(), "join-tested")
+    members = scope.stage(
+        found.where(f"kind = {MEMBER}").select(F.col("a").alias("key"), F.col("b").alias("x")).distinct(), "join-members"
+    )
+    scope.drop(found)
+    fetched = []
+
+    def from_documents(wanted):
+        fetched.append(scope.stage(named_texts(docs, wanted), "join-texts"))
+        return fetched[0]
+
+    links = verify(tested, names, from_documents, width, percent, scope)
+    scope.drop(fetched[0])
+    label = components(links, scope)
+
+    def open_members(members):
+        """Members of buckets that are open by now."""
+        after = scope.stage(open_buckets(members.select("key", "x"), label), "join-open")
+        scope.drop(members)
+        return after
+
+    def tell(pairs):
+        """Compare pairs that are new, and take their links up."""
+        nonlocal tested, links, label
+        new = scope.stage(pairs.join(tested, ["a", "b"], "left_anti"), "join-new")
+        more = verify(new, names, lambda _: texts, width, percent, scope)
         if not more.isEmpty():
             links = links.union(more)
-            label = components(links)
-        members = members.select("key", "x")
+            scope.drop(label)
+            label = components(links, scope)
+        tested = tested.union(new)
+
+    members = open_members(members)
+    if not members.isEmpty():
+        inside = members.select(F.col("x").alias("node")).distinct().join(names, "node").select("row")
+        texts = scope.stage(named_texts(docs, scope.stage(inside, "join-inside")), "join-texts")
+        for turn in range(TURNS):
+            tell(pivot_pairs(members, turn))
+            members = open_members(members)
+        still = scope.stage(
+            members.select(F.col("x").alias("node")).distinct().join(names, "node").select("row")
+            .join(texts, "row").select("text"),
+            "join-still",
+        )
+        rare = scope.stage(rare_elements(still, width, percent), "join-rare")
+        tell(meeting_pairs(open_buckets(rare, label, "place", "n"), percent))
     least = (
         label.join(names, "node").groupBy("comp").agg(F.min(first_row("id", "row")).alias("least"))
         .join(label, "comp").select("node", "least")

@@ -26,11 +26,14 @@ import numpy as np
 
 from quire.llm.common import mix64
 
-GROWTH = 1.5
+GROWTH = 1.25
 LEVELS = 4
 #: Words of a passage that unrelated documents may share, for the cost.
 PASSAGE = 50
-COLLIDE = 100_000.0
+#: Weight of a collision against a signature.
+COLLIDE = 10_000.0
+#: Signatures per element, roughly, for the number of parts.
+PER_ELEMENT = 0.6
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quire.llm import decontaminate as dec
 from quire.llm import jaccard_join as jj
@@ -89,7 +90,21 @@ def test_a_node_alone_after_a_cut_meets_the_members_sent_before(spark, monkeypat
     assert {b for _, b in members} == {*early.tolist(), 500} and len({a for a, _ in members}) == 1
     label = spark.createDataFrame([(int(v), 0) for v in early], "node long, comp long")
     rows = jj.open_buckets(spark.createDataFrame(list(members), "key long, x long"), label)
-    assert {(r.a, r.b) for r in jj.cross_pairs(rows).collect()} == {(int(v), 500) for v in early}
+    assert [r.b for r in jj.pivot_pairs(rows, 0).collect()] == [500]
+
+
+def test_rare_elements_meet_for_every_linked_pair(spark, make):
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts(80, 3))]
+    for width, percent in ((4, 85), (2, 60)):
+        sets = {jj.node_of(x): x for x in (jj.shingle_set(t, width) for _, t, *_ in rows) if len(x)}
+        want = {
+            (a, b) for a, x in sets.items() for b, y in sets.items() if a < b and jj.linked(x, y, percent)
+        }
+        assert want
+        rare = jj.rare_elements(make(rows).select("text"), width, percent).where("n > 0")
+        rows_of = rare.withColumns({"c": F.col("x"), "main": F.lit(0).cast("long")})
+        found = {(r.a, r.b) for r in jj.meeting_pairs(rows_of, percent).collect()}
+        assert want <= found and len(found) < len(sets) ** 2 / 4
 
 
 def test_empty_table_and_repeated_rows(make):
