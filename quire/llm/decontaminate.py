@@ -1,28 +1,29 @@
 """Benchmark decontamination: SimHash windows, multi-index Hamming search, exact check.
 
-For every benchmark item of L words, the windows of L words of a document are
-compared with it. A window's fingerprint is the 64-bit SimHash of its five-word
-shingles, weighted by their counts; windows of all lengths come from running
-sums of the shingles' bit signs. The items' fingerprints stand in a multi-index
-of ``BLOCKS`` blocks of bits: two fingerprints within ``RADIUS`` bits agree to
-within RADIUS // BLOCKS bits in at least one block, so looking up each block's
-neighbourhood finds every fingerprint within the radius. Candidates are then
-held against the item by the exact weighted Jaccard similarity of the shingle
-counts, with shingles compared as words, not hashes.
-
-Windows that share no shingle with any item of their length have similarity 0 with
-all of them; they are passed over before fingerprints are taken, which loses nothing. Words
-are lower-cased (A-Z) and parted at blanks and ASCII punctuation, so that passages
+For every benchmark item of L words, all windows of L words of a document are
+fingerprinted: a window's fingerprint is the 64-bit SimHash of its five-word
+shingles, weighted by their counts, from running sums of the shingles' bit signs. The
+items' fingerprints stand in a multi-index of ``BLOCKS`` blocks of bits: two fingerprints
+within ``RADIUS`` bits agree to within RADIUS // BLOCKS bits in at least one block, so
+looking up each block's neighbourhood finds every fingerprint within the radius; of
+unrelated windows one in 25 is found. Candidates are then held against the item by the
+exact weighted Jaccard similarity of the shingle counts, with shingles compared as words,
+not hashes. A window within the radius is never missed; a window that is more
+similar than ``SIMILARITY`` lies outside the radius in a few cases in a hundred when it
+is barely so (README), and less the more similar it is.
+
+Words are lower-cased (A-Z) and parted at blanks and ASCII punctuation, so that passages
 match whatever punctuation stands around them.
 
 Scale. Documents are never shuffled: the benchmark is the stated query set and
 goes to the tasks, whole, in blocks of at most ``BLOCK_BYTES`` of text, each of
-which makes one pass. A task holds one document's arrays at a time, long ones
-window range by window range.
+which makes one pass. Texts are laid end to end and worked on in runs of about ``RUN``
+words, a long one in overlapping runs, so memory does not depend on their length.
 
 Defined results: null or empty texts, and empty items, match nothing; an item of
-fewer than five words is one shingle; repeated documents are reported each;
-equally similar windows of a document report the first; other columns are ignored.
+fewer than five words is one shingle; a document of fewer words than an item is one
+window for it; repeated documents are reported each; equally similar windows of a
+document report the first; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +39,13 @@ from quire.llm import common
 
 WIDTH = 5
 SIMILARITY = 0.8
-BLOCKS = 8
-RADIUS = 23
-BLOCK_BYTES = 8 << 20
-#: Windows fingerprinted at once.
-WINDOWS = 1 << 14
+BLOCKS = 4
+RADIUS = 15
+BLOCK_BYTES = 32 << 20
+#: Words worked on at once.
+RUN = 1 << 13
+#: Items whose shingle counts a task keeps.
+KEPT = 1 << 12
 
 _PARTS = bytes(
     c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)
@@ -65,57 +68,59 @@ def shingles(words: list[bytes], width: int = WIDTH) -> list[bytes]:
     return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
-def signs(hashes: np.ndarray) -> np.ndarray:
-    """Rows of 64 values, 1 for a set bit and -1 for a clear one."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return bits.astype(np.int32) * 2 - 1
+def lanes(hashes: np.ndarray, longest: int) -> np.ndarray:
+    """Rows of the 64 bits, each in a lane of bytes wide enough to count to ``longest``, as
+    64-bit words. Differences of running sums of such words are right even though the sums
+    themselves run over, as no lane of a window's sum does."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if longest <= np.iinfo(k).max)
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8))
+    return bits.astype(kind, copy=False).view(np.uint64).reshape(len(hashes), -1)
 
 
-def fingerprint(sums: np.ndarray) -> np.ndarray:
-    """The 64-bit SimHash of each row of summed signs."""
-    return np.packbits(sums > 0, axis=1).view("<u8").ravel().astype(np.uint64)
+def fingerprint(sums: np.ndarray, shingles: int) -> np.ndarray:
+    """The 64-bit SimHash of each row of lanes: bits that more than half of the shingles have."""
+    counts = np.ascontiguousarray(sums).view(f"u{sums.shape[1] // 8}")
+    return np.packbits((counts > shingles // 2).ravel()).view("<u8").astype(np.uint64, copy=False)
 
 
 class HammingIndex:
-    """Fingerprints by blocks of bits; finds all within ``radius`` of a query."""
-
-    def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
-        self.prints, self.radius, self.blocks = prints, radius, blocks
-        self.bits = 64 // blocks
-        slack = radius // blocks
-        whole = np.arange(1 << self.bits)
-        ones = np.array([bin(x).count("1") for x in whole])
-        self.near = [np.flatnonzero(ones[whole ^ x] <= slack) for x in whole]
-        self.tables = []
-        for b in range(blocks):
-            table: dict[int, list[int]] = {}
-            for i, key in enumerate(self.key(prints, b).tolist()):
-                for x in self.near[key].tolist():
-                    table.setdefault(x, []).append(i)
-            self.tables.append({k: np.array(v) for k, v in table.items()})
-
-    def key(self, prints: np.ndarray, b: int) -> np.ndarray:
-        return ((prints >> np.uint64(b * self.bits)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+    """Fingerprints by blocks of 16 bits; finds all within ``radius`` of a query.
+
+    For every group of eight fingerprints and block there is a table of all keys: which of
+    the eight lie within radius // BLOCKS bits of the key."""
+
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS):
+        self.prints, self.radius = prints, radius
+        whole = np.arange(1 << 16)
+        near = np.bitwise_count(whole) <= radius // BLOCKS
+        self.groups = []
+        for a in range(0, len(prints), 8):
+            tables = np.zeros((BLOCKS, 1 << 16), np.uint8)
+            for i, own in enumerate(self.keys(prints[a : a + 8]).T):
+                for b in range(BLOCKS):
+                    tables[b] |= near[whole ^ own[b]].astype(np.uint8) << np.uint8(i)
+            self.groups.append((a, tables))
+
+    @staticmethod
+    def keys(prints: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(prints.astype("<u8", copy=False).view(np.uint16).reshape(-1, BLOCKS).T)
 
     def pairs(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query positions, item positions and distances, each pair once."""
-        found_q, found_i = [], []
-        for b, table in enumerate(self.tables):
-            keys = self.key(queries, b)
-            for k in np.unique(keys).tolist():
-                items = table.get(k)
-                if items is not None:
-                    at = np.flatnonzero(keys == k)
-                    found_q.append(np.repeat(at, len(items)))
-                    found_i.append(np.tile(items, len(at)))
-        if not found_q:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        both = np.unique(np.concatenate(found_q) * len(self.prints) + np.concatenate(found_i))
+        """Query positions, item positions and distances, each pair once, in order."""
+        keys, found = self.keys(queries), []
+        for a, tables in self.groups:
+            match = tables[0].take(keys[0])
+            for b in range(1, BLOCKS):
+                match |= tables[b].take(keys[b])
+            at = np.flatnonzero(match)
+            match, prints = match[at], queries[at]
+            for i, own in enumerate(self.prints[a : a + 8]):
+                near = (np.bitwise_count(prints ^ own) <= self.radius) & ((match >> np.uint8(i)) & 1).astype(bool)
+                if near.any():
+                    found.append(at[near] * len(self.prints) + (a + i))
+        both = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
         q, i = both // len(self.prints), both % len(self.prints)
-        far = np.bitwise_count(queries[q] ^ self.prints[i])
-        keep = far <= self.radius
-        return q[keep], i[keep], far[keep].astype(np.int64)
+        return q, i, np.bitwise_count(queries[q] ^ self.prints[i]).astype(np.int64)
 
 
 def weighted_jaccard(a: Counter, b: Counter) -> float:
@@ -128,85 +133,100 @@ class Benchmark:
 
     def __init__(self, rows: list[tuple[int, str]], radius=RADIUS, similarity=SIMILARITY):
         self.similarity = similarity
-        self.by_length: dict[int, list[tuple[int, Counter]]] = {}
-        #: number of words of the items that have a shingle, by its hash
-        self.lengths: dict[int, set[int]] = {}
+        self.by_length: dict[int, list[tuple[int, list[bytes]]]] = {}
         for item, text in rows:
-            ws = tokens(text)
-            if ws:
-                self.by_length.setdefault(len(ws), []).append((item, Counter(shingles(ws))))
-                for h in common.shingle_hashes(common.word_hashes(b" ".join(ws)), WIDTH).tolist():
-                    self.lengths.setdefault(h, set()).add(len(ws))
-        self.known = np.array(sorted(self.lengths), np.uint64)
-        # a bit per possible low 20 bits, to pass over most shingles at once
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        #: lengths below WIDTH make a shingle of fewer words
-        self.short = sorted(n for n in self.by_length if n < WIDTH)
-        self.long = sorted(n for n in self.by_length if n >= WIDTH)
-        self.index = {}
-        for n, items in self.by_length.items():
-            sums = []
-            for _, count in items:
-                hs = np.array(
-                    [common.shingle_hashes(common.word_hashes(s), WIDTH)[0] for s in count], np.uint64
-                )
-                sums.append((signs(hs) * np.array(list(count.values()))[:, None]).sum(0))
-            self.index[n] = HammingIndex(fingerprint(np.array(sums)), radius)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        """Positions whose shingle some item has."""
-        at = np.flatnonzero(self.maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(self.known, hashes[at]), max(len(self.known) - 1, 0))
-        return at[self.known[place] == hashes[at]] if len(at) else at
-
-    def search(self, text: str | None):
-        """(item, first word, words, distance, similarity) of the best window of each item."""
-        data, ws = plain(text), None
-        best: dict[int, tuple] = {}
-        hashed = common.word_hashes(data)
-        for width, lengths in ((WIDTH, self.long), *((n, [n]) for n in self.short)):
-            if len(hashed) < width or not lengths:
+            if ws := tokens(text):
+                self.by_length.setdefault(len(ws), []).append((item, ws))
+        self.index = {
+            n: HammingIndex(np.concatenate([self.print_of(ws) for _, ws in items]), radius)
+            for n, items in self.by_length.items()
+        }
+        self.counts: dict[tuple[int, int], Counter] = {}
+        #: lengths by the width of their shingles
+        self.lengths = {w: sorted(n for n in self.by_length if min(n, WIDTH) == w) for w in range(1, WIDTH + 1)}
+        self.longest = max(self.by_length, default=0)
+
+    @staticmethod
+    def print_of(ws: list[bytes]) -> np.ndarray:
+        return Benchmark.print_of_hashes(common.shingle_hashes(common.word_hashes(b" ".join(ws)), WIDTH))
+
+    @staticmethod
+    def print_of_hashes(hashes: np.ndarray) -> np.ndarray:
+        return fingerprint(lanes(hashes, len(hashes)).sum(0, dtype=np.uint64)[None], len(hashes))
+
+    def count_of(self, n: int, i: int) -> Counter:
+        if (n, i) not in self.counts:
+            if len(self.counts) >= KEPT:
+                self.counts.clear()
+            self.counts[n, i] = Counter(shingles(self.by_length[n][i][1]))
+        return self.counts[n, i]
+
+    def search(self, texts: list) -> dict[int, dict]:
+        """By text: (first word, words, distance, similarity) of the best window of each item."""
+        best: dict[int, dict] = {}
+        kept: dict[int, list[bytes]] = {}
+        run, held = [], 0
+        for row, text in enumerate(texts):
+            hashes = common.word_hashes(plain(text))
+            if not len(hashes):
                 continue
-            hs = common.shingle_hashes(hashed, width)
-            hits: dict[int, list[int]] = {}
-            for at in self.has(hs).tolist():
-                for n in self.lengths[int(hs[at])]:
-                    hits.setdefault(n, []).append(at)
-            for n in sorted(hits.keys() & set(lengths)):
-                ws = ws or data.split()
-                self._windows(ws, hs, np.array(hits[n]), n, width, best)
+            if len(hashes) < self.longest:
+                self.whole(row, text, hashes, best)
+            # a long text comes in runs that overlap by the longest window
+            for a in range(0, max(1, len(hashes) - self.longest + 1), RUN):
+                piece = hashes[a : a + RUN + self.longest - 1]
+                run.append((row, a, piece))
+                held += len(piece)
+                if held >= RUN:
+                    self.windows(run, texts, kept, best)
+                    kept.clear()
+                    run, held = [], 0
+        if run:
+            self.windows(run, texts, kept, best)
         return best
 
-    def _windows(self, ws, hs, hits, n, width, best) -> None:
-        span = n - width + 1  # shingles of a window
-        last = max(len(hs) - span, 0)  # a shorter text is one window
-        mark = np.zeros(last + 2, np.int64)
-        np.add.at(mark, np.clip(hits - span + 1, 0, last), 1)
-        np.add.at(mark, np.minimum(hits, last) + 1, -1)
-        starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-        index, items = self.index[n], self.by_length[n]
-        for a in range(0, len(starts), WINDOWS):
-            run = starts[a : a + WINDOWS]
-            # running sums over each stretch of shingles that the windows touch
-            low, high = run[0], min(run[-1] + span, len(hs))
-            if high - low > 4 * WINDOWS + span:
-                cuts = np.flatnonzero(np.diff(run) > span) + 1
-                groups = np.split(run, cuts)
-            else:
-                groups = [run]
-            for group in groups:
-                low, high = group[0], min(group[-1] + span, len(hs))
-                sums = np.zeros((high - low + 1, 64), np.int32)
-                np.cumsum(signs(hs[low:high]), axis=0, out=sums[1:])
-                ends = np.minimum(group + span, len(hs))
-                prints = fingerprint(sums[ends - low] - sums[group - low])
-                for q, i, far in zip(*(x.tolist() for x in index.pairs(prints)), strict=True):
-                    at = int(group[q])
-                    item, count = items[i]
-                    same = weighted_jaccard(count, Counter(shingles(ws[at : at + n], width)))
-                    if same >= self.similarity and (item not in best or same > best[item][3]):
-                        best[item] = (at, min(n, len(ws) - at), far, same)
+    def take(self, row, words, n, i, at, far, best) -> None:
+        """Compare a window with an item exactly."""
+        window = words[at : at + n]
+        item, same = self.by_length[n][i][0], weighted_jaccard(self.count_of(n, i), Counter(shingles(window, min(n, WIDTH))))
+        if same >= self.similarity:
+            own = best.setdefault(row, {})
+            if item not in own or (same, -at) > (own[item][3], -own[item][0]):
+                own[item] = (at, len(window), far, same)
+
+    def whole(self, row, text, hashes, best) -> None:
+        """A text of fewer words than some items, as one window."""
+        least = self.similarity * 0.999
+        for n, index in self.index.items():
+            width = min(n, WIDTH)
+            if width <= len(hashes) < n and len(hashes) - width + 1 >= least * (n - width + 1):
+                own = self.print_of_hashes(common.shingle_hashes(hashes, width))
+                for _, i, far in zip(*(x.tolist() for x in index.pairs(own)), strict=True):
+                    self.take(row, tokens(text), n, i, 0, far, best)
+
+    def windows(self, run, texts, kept, best) -> None:
+        """All windows of some pieces of texts: (text, its first word, hashes)."""
+        sizes = np.array([len(h) for *_, h in run])
+        ends = np.cumsum(sizes)
+        hashes = np.concatenate([h for *_, h in run])
+        for width, lengths in self.lengths.items():
+            lengths = [n for n in lengths if n <= len(hashes)]
+            if not lengths:
+                continue
+            own = lanes(common.shingle_hashes(hashes, width), lengths[-1])
+            sums = np.zeros((len(own) + 1, own.shape[1]), np.uint64)
+            np.cumsum(own, axis=0, out=sums[1:])
+            for n in lengths:
+                span, last = n - width + 1, len(hashes) - n + 1
+                prints = fingerprint(sums[span : span + last] - sums[:last], span)
+                for q, i, far in zip(*(x.tolist() for x in self.index[n].pairs(prints)), strict=True):
+                    k = int(np.searchsorted(ends, q, "right"))
+                    if q + n > ends[k]:
+                        continue  # it reaches into the next text
+                    row, at = run[k][0], run[k][1] + q - int(ends[k] - sizes[k])
+                    if row not in kept:
+                        kept[row] = tokens(texts[row])
+                    self.take(row, kept[row], n, i, at, far, best)
 
 
 def find_leaks(
@@ -231,7 +251,7 @@ def find_leaks(
     result = None
     for block in blocks(benchmark, item_col, item_text_col):
         held = spark.sparkContext.broadcast(block)
-        found = rows.mapInPandas(searcher(held, radius, similarity), schema)
+        found = common.map_ids(rows, searcher(held, radius, similarity), schema)
         result = found if result is None else result.unionByName(found)
     return spark.createDataFrame([], schema) if result is None else result
 
@@ -254,13 +274,13 @@ def searcher(held, radius, similarity):
     def search(batches):
         bench = Benchmark(held.value, radius, similarity)
         for batch in batches:
-            out = [
-                (doc, item, *match)
-                for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True)
-                for item, match in bench.search(text).items()
+            found = [
+                (row, item, *match)
+                for row, own in sorted(bench.search(batch["text"].to_pylist()).items())
+                for item, match in own.items()
             ]
-            names = ["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"]
-            yield pd.DataFrame(out, columns=names)
+            at, *columns = [list(x) for x in zip(*found, strict=True)] or [[] for _ in range(6)]
+            yield batch["doc_id"].take(pa.array(at, pa.int64())), columns
 
     return search
 
