@@ -76,7 +76,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFram
 
 
 def schedule(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Slots of the mix: src_key, block, take (words of the block), slot.
+    """Slots of the mix: src_key, block, take (words of the block), slot, turn (how often the
+    source was read through before).
 
     ``plan``: src_key, source_size, target. A source has as many slots as its
     target fills; the last one may take only the start of its block.
@@ -148,13 +149,27 @@ def schedule(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         .join(quota, "src_key")
         .where("rank < quota")
         .withColumn("block", F.col("rank") % F.col("blocks"))
-        .withColumn("start", F.expr("rank div blocks") * size + F.col("block") * b)
-        .select("src_key", "block", "slot", F.least(b, F.col("words") - F.col("start")).alias("take"))
+        .withColumn("turn", F.expr("rank div blocks"))
+        .withColumn("start", F.col("turn") * size + F.col("block") * b)
+        .select("src_key", "block", "slot", F.least(b, F.col("words") - F.col("start")).alias("take"), "turn")
     )
 
 
+def row_name(docs: DataFrame) -> Column:
+    """A 64-bit name of all that a row holds."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*names, *map(F.isnull, names))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    parts = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    return F.array_join(F.slice(parts, F.lit(1), n.cast("int")), "")
+
+
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return docs.select(
+        row_name(docs).alias("row"),
         F.monotonically_increasing_id().alias("rk"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
@@ -168,7 +183,7 @@ def order_key(seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), F.lit(":"), common.key_text("doc_id")).cast("binary"))
 
 
-def mix_sources(
+def read_pieces(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -178,12 +193,11 @@ def mix_sources(
     cap: float = CAP,
     block_words: int = BLOCK_WORDS,
     seed: str = SEED,
-) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, taken, first_slot.
+) -> tuple[DataFrame, DataFrame]:
+    """The documents' parts in blocks with the slots that read them, and the sources' targets.
 
-    taken: words of it that the mix reads, repeats counted, at most ``cap`` times
-    its size; first_slot: the slot that reads it first, null if none does.
-    """
+    Parts: rk (of a document), row, doc_id, source, src_key, size, read (words of the part that
+    a slot takes), slot and turn (null where no slot reads the block)."""
     base = common.stage(sized(docs, id_col, text_col, source_col), "mix-sizes")
     sizes = base.groupBy("src_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     rows = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -210,7 +224,7 @@ def mix_sources(
     )
     # Blank documents get block numbers that no slot has, spread over many.
     pieces = placed.select(
-        "rk", "doc_id", "source", "src_key", "size", "a",
+        "rk", "row", "doc_id", "source", "src_key", "size", "a",
         F.explode(
             F.when(
                 F.col("size") > 0,
@@ -218,19 +232,42 @@ def mix_sources(
             ).otherwise(F.array(-1 - F.pmod("rk", F.lit(4096))))
         ).alias("block"),
     ).select(
-        "rk", "doc_id", "source", "src_key", "size", "block",
+        "rk", "row", "doc_id", "source", "src_key", "size", "block",
         F.greatest(F.lit(0), F.col("a") - F.col("block") * block_words).alias("low"),
         F.least(F.lit(block_words), F.col("a") + F.col("size") - F.col("block") * block_words).alias("high"),
     )
     # least() skips nulls: a block without a slot must read as 0
     read = F.greatest(F.lit(0), F.least("high", F.coalesce("take", F.lit(0))) - F.col("low"))
-    taken = (
-        pieces.join(schedule(plan, block_words), ["src_key", "block"], "left")
-        .groupBy("rk", "doc_id", "source", "src_key", "size")
-        .agg(
-            F.coalesce(F.sum(read), F.lit(0)).cast("long").alias("taken"),
-            F.min(F.when(read > 0, F.col("slot"))).alias("first_slot"),
-        )
+    parts = pieces.join(schedule(plan, block_words), ["src_key", "block"], "left").select(
+        "rk", "row", "doc_id", "source", "src_key", "size", read.alias("read"), "slot", "turn"
+    )
+    return parts, plan
+
+
+def readings(docs: DataFrame, **options) -> DataFrame:
+    """A row for every time that the mix reads a document: rk, row (names of it and of what it
+    holds), size, words (read of it, from its start; fewer than its size only the last time) and slot (that
+    reads its first words). Options as for ``read_pieces``."""
+    parts, _ = read_pieces(docs, **options)
+    return (
+        parts.where("read > 0")
+        .groupBy("rk", "row", "size", "turn")
+        .agg(F.sum("read").alias("words"), F.min("slot").alias("slot"))
+        .select("rk", "row", "size", "words", "slot")
+    )
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """A row per document: doc_id, source, size, source_size, target, taken, first_slot.
+
+    taken: words of it that the mix reads, repeats counted, at most ``cap`` times
+    its size; first_slot: the slot that reads it first, null if none does. Options as for
+    ``read_pieces``.
+    """
+    parts, plan = read_pieces(docs, **options)
+    taken = parts.groupBy("rk", "doc_id", "source", "src_key", "size").agg(
+        F.coalesce(F.sum("read"), F.lit(0)).cast("long").alias("taken"),
+        F.min(F.when(F.col("read") > 0, F.col("slot"))).alias("first_slot"),
     )
     return taken.join(plan, "src_key").select(
         "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"),
@@ -240,7 +277,7 @@ def mix_sources(
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(common.documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 ORACLE = rf"""
@@ -268,12 +305,33 @@ plan AS (
          CASE WHEN cut.k IS NULL OR level.k < cut.k THEN most ELSE w * cut.level END AS target
   FROM level, cut),
 placed AS (
-  SELECT b.doc_id, b.size, p.source_size, p.target, CAST(floor(p.target + 0.5) AS BIGINT) AS words,
+  SELECT b.doc_id, b.source, b.size, p.source_size, p.target, CAST(floor(p.target + 0.5) AS BIGINT) AS words,
          CAST(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.h, b.doc_id, b.size
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - b.size AS a
-  FROM base b JOIN plan p ON b.source IS NOT DISTINCT FROM p.source)
+  FROM base b JOIN plan p ON b.source IS NOT DISTINCT FROM p.source),
+quota AS (
+  SELECT *, sum(quota) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi
+  FROM (SELECT source, (words // source_size) * ((source_size + {BLOCK_WORDS} - 1) // {BLOCK_WORDS})
+               + (words % source_size + {BLOCK_WORDS} - 1) // {BLOCK_WORDS} AS quota
+        FROM (SELECT source, source_size, CAST(floor(target + 0.5) AS BIGINT) AS words FROM plan)
+        WHERE source_size > 0 AND words > 0)),
+points AS (
+  SELECT j, least(floor(((j * '{GOLDEN}'::DOUBLE) % 1.0::DOUBLE) * n), n - 1) AS x
+  FROM (SELECT CAST(sum(quota) AS BIGINT) AS n FROM quota), LATERAL (SELECT unnest(range(n)) AS j)),
+drawn AS (
+  SELECT source, j AS slot, row_number() OVER (PARTITION BY source ORDER BY j) - 1 AS rank
+  FROM points JOIN quota ON x >= hi - quota AND x < hi),
+slots AS (
+  SELECT source, slot, rank FROM drawn
+  UNION ALL
+  SELECT q.source, (SELECT sum(quota) FROM quota) + hi - quota + r.rank, r.rank
+  FROM (SELECT *, (SELECT count(*) FROM drawn d WHERE d.source IS NOT DISTINCT FROM quota.source) AS have FROM quota) q,
+       LATERAL (SELECT unnest(range(CAST(q.have AS BIGINT), CAST(q.quota AS BIGINT))) AS rank) r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(CASE WHEN size = 0 THEN 0 ELSE (words // source_size) * size
-            + greatest(0, least(size, words % source_size - a)) END AS BIGINT) AS taken
-FROM placed
+            + greatest(0, least(size, words % source_size - a)) END AS BIGINT) AS taken,
+       CAST(s.slot AS BIGINT) AS first_slot
+FROM placed p
+LEFT JOIN slots s ON p.size > 0 AND p.a < p.words AND s.source IS NOT DISTINCT FROM p.source
+                 AND s.rank = p.a // {BLOCK_WORDS}
 """
