@@ -2,7 +2,8 @@
 
 Fixed patterns with their checks give the *base* spans, which always stay. Beside them,
 candidate spans are proposed by tighter shapes (numbers that ran together with their
-neighbours, national phone numbers, spelled-out addresses). Labelers vote on every
+neighbours, national phone numbers, spelled-out addresses) and of one more kind, secrets
+(keys and tokens). Labelers vote on every
 candidate, for, against or not at all: the base patterns, checksums and ranges
 (regular expressions and arithmetic), gazetteers (top-level domains, card issuers,
 calling codes), cue words before the span, and shape.
@@ -11,7 +12,8 @@ Expectation-maximisation (a two-class Dawid-Skene model with abstentions) estima
 how reliable each labeler is from how they agree over the whole corpus. It needs
 only how often each pattern of votes and features occurs, a table bounded by their
 combinations and counted by Spark. The posteriors then train a logistic span
-classifier on the same table, whose verdict adds candidates to the base spans.
+classifier on the same table, from the votes and from features of the span and its
+surroundings that no labeler looks at, whose verdict adds candidates to the base spans.
 
 Offsets are code points, ends exclusive. Defined results: null text counts as empty
 and has no span; candidates that overlap a kept span of their kind are not added;
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 
 from quire.llm import common
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds that have a fixed pattern.
+BASE_KINDS = KINDS[:4]
 THRESHOLD = 0.5
 ROUNDS = 50
 CUE_WINDOW = 40
@@ -58,6 +62,7 @@ _TIGHT = {
     "phone": re.compile(
         r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
     ),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])"),
 }
 
 #: Gazetteers and cue words: fixed values, extended by parameter.
@@ -69,7 +74,11 @@ CUES = {
     "ip": ("ip", "host", "server", "address", "adresse", "servidor", "login"),
     "card": ("card", "visa", "credit", "karte", "carte", "tarjeta", "pay"),
     "phone": ("phone", "call", "tel", "fax", "mobile", "anruf", "appel", "llama"),
+    "secret": ("token", "secret", "key", "password", "passwd", "bearer", "auth", "credential"),
 }
+#: How well-known keys begin, and the lengths of keys in hexadecimal.
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "sk_live_", "xox", "AIza", "glpat-", "eyJ")
+HEX_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 AGAINST = ("version", "license", "licence", "copyright", "isbn", "issn", "rfc", "section", "invoice", "order")
 
 LABELERS = ("base", "check", "gazetteer", "context", "shape")
@@ -106,7 +115,7 @@ def base_emails(text: str):
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
-    found = {k: [] for k in KINDS}
+    found = {k: [] for k in BASE_KINDS}
     if not _ANY.search(text):
         return found
     found["email"] = list(base_emails(text))
@@ -125,7 +134,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]):
     """(kind, start, end, is base) of all spans to vote on."""
-    for kind in KINDS:
+    for kind in BASE_KINDS:
         for a, b in base[kind]:
             yield kind, a, b, True
     spelled = any(x in text for x in _SPELLED)
@@ -134,7 +143,8 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]):
     for kind in KINDS:
         if kind == "email" and not spelled:
             continue
-        taken, k = base[kind], 0
+        # a secret may not be part of what is something else
+        taken, k = base[kind] if kind in base else sorted(s for spans in base.values() for s in spans), 0
         for m in _TIGHT[kind].finditer(text):
             a, b = m.span()
             while k < len(taken) and taken[k][1] <= a:
@@ -160,6 +170,10 @@ def votes(kind: str, text: str, a: int, b: int, is_base: bool) -> tuple[int, ...
         code = re.match(r"\+([0-9]{1,3})", span)
         if code:
             gazetteer = 1 if any(code[1][:n] in CALLING_CODES for n in (1, 2, 3)) else -1
+    elif kind == "secret":
+        check = 1 if len(set(span)) >= 10 and len(digits) >= 4 else -1
+        hexadecimal = not span.strip("0123456789abcdef") or not span.strip("0123456789ABCDEF")
+        gazetteer = 1 if span.startswith(KEY_PREFIXES) or hexadecimal and len(span) in HEX_LENGTHS else 0
     else:
         tail = re.split(r"[^A-Za-z]+", span)[-1].lower()
         gazetteer = 1 if tail in TOP_DOMAINS else 0
@@ -169,13 +183,32 @@ def votes(kind: str, text: str, a: int, b: int, is_base: bool) -> tuple[int, ...
         context = -1
     edge = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
     shape = 1 if edge and len(span) <= 64 else -1
+    if kind == "secret":
+        shape = 1 if before.rstrip(" \"'`").endswith(("=", ":")) else 0
     return (1 if is_base else 0, check, gazetteer, context, shape)
 
 
+#: What the classifier is told besides the votes, and how many values each has.
+TRAITS = {"length": 4, "parts": 3, "variety": 3, "front": 4, "company": 3}
+
+
+def traits(kind: str, text: str, a: int, b: int) -> tuple[int, ...]:
+    """Features of a span and its surroundings: its length and number of parts, how many
+    characters it is made of, what stands before it, and other digits nearby."""
+    span = text[a:b]
+    length = sum(len(span) > x for x in (12, 18, 30))
+    parts = min(2, len(re.findall(r"[^A-Za-z0-9]+", span)) // 2)
+    variety = sum(len(set(span)) > x for x in (6, 10))
+    front = text[a - 1] if a else " "
+    front = 0 if front.isspace() else 1 if front in "\"'`([<" else 2 if not front.isalnum() else 3
+    near = len(digits_of(text[max(0, a - CUE_WINDOW) : a])) + len(digits_of(text[b : b + CUE_WINDOW]))
+    return length, parts, variety, front, sum(near > x for x in (0, 12))
+
+
 def pattern_counts(docs: DataFrame) -> pd.DataFrame:
-    """kind, votes v0.. and n: how often each pattern occurs among all candidates.
+    """kind, votes v0.., traits f0.. and n: how often each pattern occurs among all candidates.
 
-    At most len(KINDS) * 3 ** len(LABELERS) rows."""
+    The number of rows is bounded by the combinations of their few values."""
 
     def count(batches):
         total: Counter = Counter()
@@ -183,10 +216,10 @@ def pattern_counts(docs: DataFrame) -> pd.DataFrame:
             for text in batch["text"].tolist():
                 text = text or ""
                 for kind, a, b, is_base in candidates(text, base_spans(text)):
-                    total[(kind, *votes(kind, text, a, b, is_base))] += 1
+                    total[(kind, *votes(kind, text, a, b, is_base), *traits(kind, text, a, b))] += 1
         yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["kind", *vs, "n"])
 
-    vs = [f"v{i}" for i in range(len(LABELERS))]
+    vs = [*(f"v{i}" for i in range(len(LABELERS))), *(f"f{i}" for i in range(len(TRAITS)))]
     return (
         docs.select("text")
         .mapInPandas(count, "kind string, " + ", ".join(f"{v} int" for v in vs) + ", n long")
@@ -221,10 +254,11 @@ def estimate(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return posterior, likelihood
 
 
-def features(kinds, v: np.ndarray) -> np.ndarray:
-    """One, the kind, each vote for and against, and the check and base votes by kind."""
+def features(kinds, v: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """One, the kind, each vote for and against, a failed check by kind, and the traits."""
     kind = np.array([[k == x for x in KINDS] for k in kinds], float).reshape(-1, len(KINDS))
-    return np.hstack([np.ones((len(v), 1)), kind, v == 1, v == -1, kind * (v[:, [1]] == -1)])
+    own = [f[:, [i]] == np.arange(1, n) for i, n in enumerate(TRAITS.values())]
+    return np.hstack([np.ones((len(v), 1)), kind, v == 1, v == -1, kind * (v[:, [1]] == -1), *own])
 
 
 class Classifier:
@@ -235,9 +269,10 @@ class Classifier:
         if table is None or not table["n"].sum():
             return
         v = table[[f"v{i}" for i in range(len(LABELERS))]].to_numpy(int)
+        f = table[[f"f{i}" for i in range(len(TRAITS))]].to_numpy(int)
         n = table["n"].to_numpy(float)
         posterior, self.reliability = estimate(v, n)
-        x, w = features(table["kind"], v), n / n.sum()
+        x, w = features(table["kind"], v, f), n / n.sum()
         self.weights = np.zeros(x.shape[1])
         ridge = 1e-4 * np.eye(x.shape[1])
         for _ in range(30):  # Newton steps
@@ -249,10 +284,10 @@ class Classifier:
             if np.abs(step).max() < 1e-8:
                 break
 
-    def accepts(self, kind: str, vote: tuple[int, ...]) -> bool:
+    def accepts(self, kind: str, vote: tuple[int, ...], trait: tuple[int, ...]) -> bool:
         if self.weights is None:
             return False
-        x = features([kind], np.array([vote]))
+        x = features([kind], np.array([vote]), np.array([trait]))
         return bool(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)[0])) >= THRESHOLD)
 
 
@@ -260,7 +295,7 @@ def find_spans(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id",
     """doc_id, base (spans by the fixed patterns), spans (with the added ones), as
     arrays of structs kind, start, stop, sorted by kind and start."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    held = rows.sparkSession.sparkContext.broadcast(classifier)
+    held = common.Shared(rows.sparkSession, classifier)
     kind = dict(rows.dtypes)["doc_id"]
     span = "array<struct<kind:string,start:int,stop:int>>"
 
@@ -268,13 +303,13 @@ def find_spans(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id",
         model, known = held.value, {}
         for batch in batches:
             base_out, all_out = [], []
-            for text in batch["text"].tolist():
+            for text in batch["text"].to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                kept, extra = [(k, *s) for k in KINDS for s in base[k]], []
+                kept, extra = [(k, *s) for k in BASE_KINDS for s in base[k]], []
                 for k, a, b, is_base in candidates(text, base):
                     if not is_base:
-                        key = (k, votes(k, text, a, b, False))
+                        key = (k, votes(k, text, a, b, False), traits(k, text, a, b))
                         if key not in known:
                             known[key] = model.accepts(*key)
                         if known[key]:
@@ -283,9 +318,9 @@ def find_spans(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id",
                 as_rows = lambda ss: [dict(zip(("kind", "start", "stop"), s, strict=True)) for s in sorted(ss, key=order)]
                 base_out.append(as_rows(kept))
                 all_out.append(as_rows(kept + extra))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "base": base_out, "spans": all_out})
+            yield batch["doc_id"], [base_out, all_out]
 
-    return rows.mapInPandas(search, f"doc_id {kind}, base {span}, spans {span}")
+    return common.map_ids(rows, search, f"doc_id {kind}, base {span}, spans {span}")
 
 
 def number(kind: str):
@@ -300,7 +335,8 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return found.select(
         "doc_id",
-        *map(number, KINDS),
+        *map(number, BASE_KINDS),
         F.sha2(text("base"), 256).alias("base_sha256"),
         text("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
