@@ -3,8 +3,8 @@
 Documents are tokenised with a public tokenizer and cut into sequences of
 ``length`` tokens, the last one padded. Sequences are numbered 0..n-1 in table
 order; a keyed Feistel network with cycle-walking, a bijection of that range, gives
-each its global slot. Slots are cut into shards of ``per_shard`` slots; each shard
-is one partition, written in slot order as one file of fixed-stride records, so
+each its global slot. Slots are cut into shards of ``per_shard`` slots; a run of shards
+is one partition, and each is written in slot order as one file of fixed-stride records, so
 record s lies in file s // per_shard at byte (s % per_shard) * stride, and a
 reader can resume at any slot (``read_slots``).
 
@@ -19,7 +19,8 @@ repeated task replaces the file with the same bytes. Memory: a task holds one
 batch of texts, and one shard's records stream in sorted order.
 
 Defined results: null or empty texts have no sequence; repeated rows have their
-own sequences; a null id is stored as -1 in the file and null in the index;
+own sequences; an id that is null or no integer stands in the index only, and the record
+says that it has none;
 documents in any number share nothing, a long one simply has many sequences; other
 columns are ignored; an empty table writes no shard.
 """
@@ -35,6 +36,7 @@ from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +44,12 @@ from quire.llm import common
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LENGTH = 512
-PER_SHARD = 8192
+PER_SHARD = 1 << 15
+#: Tasks that write, at most; each writes a run of shards.
+MAX_TASKS = 20_000
 KEY = 0x5EED_0F_0DE5
 PAD = 0
-HEAD = "<qii"  # doc_id, number within the document, tokens
+HEAD = "<qiii"  # doc_id, number within the document, tokens, whether there is an integer id
 
 
 class Tokenizer:
@@ -104,14 +108,17 @@ def _counted(rows: DataFrame, path: str, length: int) -> list:
 
         tokenizer, docs, sequences, check = Tokenizer(path), 0, 0, 0
         for batch in batches:
-            docs += len(batch)
-            check = zlib.crc32(repr(batch["doc_id"].tolist()).encode(), check)
-            for text in batch["text"].tolist():
+            docs += batch.num_rows
+            check = zlib.crc32(repr(batch["doc_id"].to_pylist()).encode(), check)
+            for text in batch["text"].to_pylist():
                 sequences += -(-tokenizer.count(text or "") // length)
         part = TaskContext.get().partitionId()
-        yield pd.DataFrame({"part": [part], "docs": [docs], "sequences": [sequences], "sum": [check]})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), *(pa.array([x], pa.int64()) for x in (docs, sequences, check))],
+            names=["part", "docs", "sequences", "sum"],
+        )
 
-    return rows.mapInPandas(count, "part int, docs long, sequences long, sum long").collect()
+    return rows.mapInArrow(count, "part int, docs long, sequences long, sum long").collect()
 
 
 def materialise(
@@ -147,22 +154,21 @@ def materialise(
         want = starts.value.get(TaskContext.get().partitionId(), (0, 0, 0, 0))
         tokens, at, docs_seen, check = Tokenizer(tokenizer), want[0], 0, 0
         for batch in batches:
-            out = {"doc_id": [], "sequence": [], "n_tokens": [], "tokens": []}
-            docs_seen += len(batch)
-            check = zlib.crc32(repr(batch["doc_id"].tolist()).encode(), check)
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+            rows_of, numbers, pieces = [], [], []
+            docs_seen += batch.num_rows
+            check = zlib.crc32(repr(batch["doc_id"].to_pylist()).encode(), check)
+            for row, text in enumerate(batch["text"].to_pylist()):
                 ids = tokens.packed(text or "")
                 for k, a in enumerate(range(0, len(ids), length * width)):
-                    piece = ids[a : a + length * width]
-                    out["doc_id"].append(doc)
-                    out["sequence"].append(k)
-                    out["n_tokens"].append(len(piece) // width)
-                    out["tokens"].append(piece)
-            n = len(out["doc_id"])
+                    rows_of.append(row)
+                    numbers.append(k)
+                    pieces.append(ids[a : a + length * width])
+            n = len(pieces)
             if n:
                 slot = feistel(np.arange(at, at + n), total, key)
                 at += n
-                yield pd.DataFrame({"slot": slot, "shard": (slot // per_shard).astype(np.int32), **out})
+                sizes = [len(x) // width for x in pieces]
+                yield batch["doc_id"].take(pa.array(rows_of)), [slot, slot // per_shard, numbers, sizes, pieces]
         if (docs_seen, at - want[0], check) != want[1:]:
             raise RuntimeError("the input's partitions changed between the passes; run it again")
 
@@ -178,23 +184,21 @@ def materialise(
             store.move(temp, f"{base}/shard-{shard:08d}.bin")
 
         for batch in batches:
-            out = batch[["slot", "shard", "doc_id", "sequence", "n_tokens"]].copy()
             sums = []
             for s, doc, k, n, data in zip(
-                *(batch[c].tolist() for c in ("shard", "doc_id", "sequence", "n_tokens", "tokens")), strict=True
+                *(batch[c].to_pylist() for c in ("shard", "doc_id", "sequence", "n_tokens", "tokens")), strict=True
             ):
                 if s != shard:
                     if sink is not None:
                         close()
                     shard, temp = s, f"{base}/.writing-{s:08d}-{uuid.uuid4().hex}"
                     sink = store.open_output_stream(temp)
-                doc = -1 if doc is None or doc != doc else int(doc)
-                record = struct.pack(HEAD, doc, k, n) + data.ljust(length * width, b"\0")
+                head = (doc, k, n, 1) if type(doc) is int else (-1, k, n, 0)
+                record = struct.pack(HEAD, *head) + data.ljust(length * width, b"\0")
                 sink.write(record)
                 sums.append(zlib.crc32(record))
-            out["byte_offset"] = (out["slot"] % per_shard) * stride
-            out["crc32"] = np.array(sums, np.int64)
-            yield out
+            slot = batch["slot"].to_numpy()
+            yield batch["doc_id"], [slot, *(batch[c] for c in ("shard", "sequence", "n_tokens")), slot % per_shard * stride, sums]
         if sink is not None:
             close()
 
@@ -202,16 +206,14 @@ def materialise(
         return spark.createDataFrame(
             [], f"slot long, shard int, byte_offset long, doc_id {kind}, sequence int, n_tokens int, crc32 long, path string"
         )
-    placed = rows.mapInPandas(
-        place, f"slot long, shard int, doc_id {kind}, sequence int, n_tokens int, tokens binary"
+    placed = common.map_ids(
+        rows, place, f"doc_id {kind}, slot long, shard int, sequence int, n_tokens int, tokens binary"
     )
-    written = (
-        placed.repartitionById(shards, F.col("shard"))
-        .sortWithinPartitions("slot")
-        .mapInPandas(
-            write,
-            f"slot long, shard int, doc_id {kind}, sequence int, n_tokens int, byte_offset long, crc32 long",
-        )
+    tasks = min(shards, MAX_TASKS)
+    written = common.map_ids(
+        placed.repartitionById(tasks, F.expr(f"cast(shard * {tasks}L div {shards} as int)")).sortWithinPartitions("slot"),
+        write,
+        f"doc_id {kind}, slot long, shard int, sequence int, n_tokens int, byte_offset long, crc32 long",
     )
     return written.select(
         "slot", "shard", "byte_offset", "doc_id", "sequence", "n_tokens", "crc32",
@@ -232,8 +234,8 @@ def read_slots(out_dir: str, start: int, stop: int, length: int = LENGTH, per_sh
             f.seek(offset * stride)
             while slot < stop and slot // per_shard == shard:
                 record = f.read(stride)
-                doc, k, n = struct.unpack_from(HEAD, record)
-                yield slot, doc, k, np.frombuffer(record, f"<u{width}", n, struct.calcsize(HEAD))
+                doc, k, n, known = struct.unpack_from(HEAD, record)
+                yield slot, doc if known else None, k, np.frombuffer(record, f"<u{width}", n, struct.calcsize(HEAD))
                 slot += 1
 
 
