@@ -132,11 +132,16 @@ def learn(labelled: DataFrame, names: list[str]) -> list[tuple[Condition, ...]]:
     values = {n: F.col(n) for n in names}
     marks = labelled.agg(
         F.count_if("bad").alias("bad"),
-        *[F.percentile_approx(n, [k / BINS for k in range(1, BINS)], 10_000).alias(n) for n in names],
+        *[
+            F.percentile_approx(F.when(rows, F.col(n)), [k / BINS for k in range(step, BINS, step)], 10_000).alias(f"{n}_{k}")
+            for n in names
+            # finer where a statistic is rarely above 0, and among what is to be rejected
+            for k, (rows, step) in enumerate(((F.lit(True), 1), (F.col(n) > 0, 4), (F.col("bad"), 4)))
+        ],
     ).first()
     if not marks["bad"]:
         return []
-    thresholds = {n: sorted(set(marks[n] or [])) for n in names}
+    thresholds = {n: sorted({t for k in range(3) for t in marks[f"{n}_{k}"] or []}) for n in names}
     bins = F.array(*[
         F.struct(
             F.lit(k).alias("name"),
