@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -276,7 +277,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, passes: int = 1) -> Model:
     model = Model(vocabulary.unigram)
     if not vocabulary.total:
         return model
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
+    held = common.Shared(docs.sparkSession, (vocabulary, model))
 
     def learn(batches):
         from pyspark import TaskContext
@@ -311,7 +312,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, passes: int = 1) -> Model:
 
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row."""
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
+    held = common.Shared(docs.sparkSession, (vocabulary, model))
     kind = dict(docs.dtypes)["doc_id"]
 
     def evaluate(batches):
@@ -322,8 +323,8 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Mod
         norm = np.log(v.total + v.types + 1)
         for batch in batches:
             ids = batch["doc_id"]
-            outside = batch["held_out"].to_numpy(bool)
-            for at, h, s, lengths in runs(batch["text"].tolist()):
+            outside = batch["held_out"]
+            for at, h, s, lengths in runs(batch["text"].to_pylist()):
                 n = len(at)
                 units, place = v.look_up(h, s)
                 owner = np.repeat(np.arange(n), lengths)
@@ -340,14 +341,11 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Mod
                 base = total + np.log1p(v.n_docs) - (lengths + 1) * norm
                 keys = row + np.arange(n)
                 row += n
-                yield pd.DataFrame(
-                    {
-                        "row": keys, "word": common.mix64(keys.astype(np.uint64)).view(np.int64), "tf": 0,
-                        "doc_id": ids.iloc[at].to_numpy(), "held_out": outside[at], "n_tokens": lengths + 1,
-                        "known": np.bincount(owner[known], minlength=n) + (v.n_docs > 0),
-                        "base": base, "full": full,
-                    }
-                )
+                yield ids.take(pa.array(at)), [
+                    keys, common.mix64(keys.astype(np.uint64)).view(np.int64), np.zeros(n, np.int64),
+                    outside.take(pa.array(at)), lengths + 1,
+                    np.bincount(owner[known], minlength=n) + (v.n_docs > 0), base, full,
+                ]
                 rare = ~known
                 if rare.any():
                     o, w = owner[rare], h[rare]
@@ -357,18 +355,15 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Mod
                         np.concatenate([[True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])])
                     )
                     k = len(first)
-                    empty = pd.Series([None] * k, dtype=object)
-                    yield pd.DataFrame(
-                        {
-                            "row": keys[o[first]], "word": w[first], "tf": np.diff(np.append(first, len(o))),
-                            "doc_id": empty, "held_out": empty, "n_tokens": np.zeros(k, np.int64),
-                            "known": np.zeros(k, np.int64), "base": np.zeros(k), "full": np.zeros(k),
-                        }
-                    )
-
-    parts = docs.mapInPandas(
-        evaluate,
-        f"row long, word long, tf long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, full double",
+                    none = np.zeros(k, np.int64)
+                    yield pa.nulls(k, ids.type), [
+                        keys[o[first]], w[first], np.diff(np.append(first, len(o))),
+                        pa.nulls(k, pa.bool_()), none, none, np.zeros(k), np.zeros(k),
+                    ]
+
+    parts = common.map_ids(
+        docs, evaluate,
+        f"doc_id {kind}, row long, word long, tf long, held_out boolean, n_tokens long, known long, base double, full double",
     )
     gain = F.col("tf") * F.log(F.coalesce("n", F.lit(0)) + F.lit(1.0))
     return (

@@ -22,6 +22,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,10 +190,10 @@ def score(docs: DataFrame, model, id_cols: list[str], text_col="text") -> DataFr
         names, logs = held.value
         order = np.array([*names, UNKNOWN], object)
         for batch in batches:
-            n = len(batch)
+            n = batch.num_rows
             sums = np.zeros((n, len(names)))
             found = np.zeros(n, np.int64)
-            for run in pieces(batch[text].tolist()):
+            for run in pieces(batch[text].to_pylist()):
                 row = np.array([i for i, _ in run])
                 bucket, owner, letter = grams([t for _, t in run])
                 np.add.at(found, row, letter)
@@ -206,12 +207,14 @@ def score(docs: DataFrame, model, id_cols: list[str], text_col="text") -> DataFr
                 known = found > 0
                 best[known] = sums.argmax(1)[known]
                 sure[known] = (1 / np.exp(sums - top[:, None]).sum(1))[known]
-            out = batch.iloc[:, :n_ids].copy()
-            out["lang_pred"], out["score"] = order[best], sure
-            yield out
+            # the caller's columns stay in Arrow, so that null and large ids are not changed
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:n_ids], pa.array(order[best], pa.string()), pa.array(sure)],
+                names=[*batch.schema.names[:n_ids], "lang_pred", "score"],
+            )
 
     kinds = ", ".join(f"id{k} {dict(rows.dtypes)[f'id{k}']}" for k in range(n_ids))
-    done = rows.mapInPandas(predict, f"{kinds}, lang_pred string, score double")
+    done = rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
     return done.select(*[F.col(f"id{k}").alias(c) for k, c in enumerate(id_cols)], "lang_pred", "score")
 
 
