@@ -6,7 +6,8 @@
    0.8 or more, the document with the smallest id stays. Rows that share an id are one
    document only if their texts are equal as well; of near copies with one id, one stays.
 3. decontaminate: documents with a window that is a near copy of a benchmark item go.
-4. mix: every document is repeated as often as the source mix reads it.
+4. mix: documents in the order in which the slots of the source mix read them, as often as
+   they are read; a source's last document may be read in part, from its start.
 5. token_ids: sequences of token ids get a training order and are written to shards;
    the index of the shards comes back.
 
@@ -69,14 +70,23 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(docs).groupBy("doc_id").agg(
-        F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("copies")
+    plan = small(mixing.readings(docs))
+    rows = docs.select(mixing.row_name(docs).alias("row"), F.struct(*docs.columns).alias("doc"))
+    # rows that are alike in all columns are read as often as the plan says in all
+    again = small(plan.groupBy("row").agg(F.min("rk").alias("a"), F.max("rk").alias("b")).where("a != b").select("row"))
+    if not again.isEmpty():
+        rows = rows.join(again, "row", "left_anti").unionByName(
+            rows.join(again, "row", "left_semi").dropDuplicates(["row"])
+        )
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = rows.join(plan, "row").repartitionByRange(n, "slot", "row").sortWithinPartitions("slot", "row")
+    text = F.when(F.col("words") < F.col("size"), mixing.first_words(F.col("doc.text"), F.col("words"))).otherwise(
+        F.col("doc.text")
     )
-    plan = small(mixed.where("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies"))
-    joined = docs.select(F.struct(*docs.columns).alias("row")).join(
-        plan, F.col("row.doc_id").eqNullSafe(F.col("mixed_id"))
-    )
-    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    columns = {c: F.col(f"doc.{c}") for c in docs.columns} | {"text": text}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length(text).cast(dict(docs.dtypes)["n_chars"])
+    return read.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
