@@ -2,72 +2,140 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import latex
+from quire.functions import latex, mathtext
 
 EXAMPLES = 4
-_ENVIRONMENT = re.compile(r"\\(begin|end)\{([^}]*)\}")
+#: Commands that the generated sources may use.
+KNOWN = frozenset("""
+chapter section subsection paragraph textbf emph text operatorname
+frac binom sqrt sum prod int bigcup bigcap cdot cdots ldots vdots ddots
+leq geq neq approx equiv infty to in notin subset supset subseteq supseteq
+cup cap emptyset partial nabla sim backsim cong times div pm mp
+alpha beta gamma delta epsilon varepsilon zeta eta theta iota kappa lambda
+mu nu xi pi rho sigma tau upsilon phi varphi chi psi omega
+Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega
+ell Re Im left right big Big bigg Bigg langle rangle mid setminus
+sin cos tan arcsin arccos arctan sinh cosh tanh log ln exp max min sup inf
+lim det gcd bmod pmod
+begin end item label ref cite footnote
+quad qquad hspace vspace medskip bigskip smallskip noindent indent
+textasciitilde textasciicircum textbackslash textcent copyright square
+blacksquare neg forall exists Rightarrow Longleftrightarrow leftrightarrow
+leftarrow rightarrow circ bullet star ast dots
+figureplaceholder documentclass usepackage newcommand setcounter
+frontmatter mainmatter backmatter appendix
+title author date maketitle tableofcontents include input
+parbox fbox centering itshape linewidth not
+""".split())
+#: Issues that keep a source from being typeset.
+FATAL = (
+    "unbalanced brace", "unclosed braces at EOF", "stray \\end", "mismatched environment", "unclosed environment",
+    "odd $ count in paragraph", "left/right mismatch",
+)
+_COMMAND = r"\\([A-Za-z]+)"
 
 
 def issue_counts(text: Column) -> dict[str, Column]:
-    """Issues that can be counted by expressions, by kind."""
+    """Issues that expressions can count, by kind."""
     state = latex.brace_state(text)
-    plain = F.regexp_replace(text, r"(?s)\\.", "")
-    left = F.regexp_count(text, F.lit(r"\\left(?![A-Za-z])"))
-    right = F.regexp_count(text, F.lit(r"\\right(?![A-Za-z])"))
-    paragraphs = F.split(plain, "\n\n")
-    odd = F.filter(paragraphs, lambda p: F.regexp_count(p, F.lit(r"\$")) % 2 == 1)
+    left, right = (F.regexp_count(text, F.lit(rf"\\{side}(?![A-Za-z])")) for side in ("left", "right"))
+    odd = F.filter(F.split(text, "\n\n"), lambda p: F.regexp_count(p, F.lit(r"(?<!\\)\$")) % 2 == 1)
     return {
-        "control character": F.regexp_count(text, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")),
+        "undecoded control char": F.regexp_count(text, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")),
         "unbalanced brace": F.greatest(F.lit(0), -state["lowest"]),
-        "unclosed brace": F.greatest(F.lit(0), state["depth"] - state["lowest"]),
-        "odd dollars": F.size(odd),
-        "empty maths": F.regexp_count(plain, F.lit(r"\$[ \t]*\$")),
-        "left right mismatch": (left != right).cast("int"),
+        "unclosed braces at EOF": (state["depth"] > F.least(F.lit(0), state["lowest"])).cast("int"),
+        "odd $ count in paragraph": F.size(odd),
+        "empty maths": F.regexp_count(text, F.lit(r"\$[ \t]*\$")),
+        "left/right mismatch": (left != right).cast("int"),
     }
 
 
-def issues(sources: DataFrame) -> DataFrame:
-    """doc_key, kind, n: a row for every kind of issue that a source has."""
+def counted_issues(sources: DataFrame) -> DataFrame:
+    """doc_key, kind, n: the issues of ``issue_counts`` that a source has."""
     counts = issue_counts(F.col("text"))
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("long").alias("n")) for k, c in counts.items()])
     return sources.select("doc_key", F.explode(pairs).alias("i")).select("doc_key", "i.*").where("n > 0")
 
 
-def environment_issues(sources: DataFrame) -> DataFrame:
-    """doc_key, kind, n: environments that are stray, mismatched or never closed."""
+def unknown_commands(sources: DataFrame, known=KNOWN) -> DataFrame:
+    """doc_key, kind, n: commands that no source should use, a kind each."""
+    names = F.regexp_extract_all("text", F.lit(_COMMAND), F.lit(1))
+    return (
+        sources.select("doc_key", F.explode(names).alias("name")).where(~F.col("name").isin(*sorted(known)))
+        .groupBy("doc_key", F.concat(F.lit("unknown command \\"), "name").alias("kind"))
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def nested_issues(text: str) -> list[tuple[str, int]]:
+    """Issues of what nests, and where: environments, and scripts that repeat on a base."""
+    found, waiting = [], []
+    for m in re.finditer(r"\\(begin|end)\{([^}]*)\}", text):
+        if m[1] == "begin":
+            waiting.append((m[2], m.start()))
+        elif not waiting:
+            found.append(("stray \\end", m.start()))
+        elif waiting.pop()[0] != m[2]:
+            found.append(("mismatched environment", m.start()))
+    found += [("unclosed environment", at) for _, at in waiting]
+    kinds = {"_": "double subscript", "^": "double superscript"}
+    return found + [(kinds[mark], at) for mark, at in mathtext.double_scripts(text)]
+
+
+def nested_counts(sources: DataFrame) -> DataFrame:
+    """doc_key, kind, n, lines: issues of what nests, with the lines of the first few."""
 
     def scan(batches):
         for batch in batches:
             out = []
             for key, text in zip(batch["doc_key"].tolist(), batch["text"].tolist(), strict=True):
-                open_, found = [], {}
-                for what, name in _ENVIRONMENT.findall(text or ""):
-                    if what == "begin":
-                        open_.append(name)
-                    elif not open_:
-                        found["stray end"] = found.get("stray end", 0) + 1
-                    elif open_.pop() != name:
-                        found["mismatched environment"] = found.get("mismatched environment", 0) + 1
-                if open_:
-                    found["unclosed environment"] = len(open_)
-                out += [(key, kind, n) for kind, n in found.items()]
-            yield pd.DataFrame(out, columns=["doc_key", "kind", "n"])
-
+                text = text or ""
+                feeds = [m.start() for m in re.finditer("\n", text)]
+                kinds: dict[str, list[int]] = {}
+                for kind, at in nested_issues(text):
+                    kinds.setdefault(kind, []).append(bisect.bisect_left(feeds, at) + 1)
+                out += [(key, kind, len(at), sorted(at)[:EXAMPLES]) for kind, at in kinds.items()]
+            yield pd.DataFrame(out, columns=["doc_key", "kind", "n", "lines"])
+
+    # keys travel as text, which pandas leaves as it is, null or not
     kind = dict(sources.dtypes)["doc_key"]
-    return sources.select("doc_key", "text").mapInPandas(scan, f"doc_key {kind}, kind string, n long")
+    return (
+        sources.select(F.col("doc_key").cast("string"), "text")
+        .mapInPandas(scan, "doc_key string, kind string, n long, lines array<int>")
+        .withColumn("doc_key", F.col("doc_key").cast(kind))
+    )
+
+
+def issues(sources: DataFrame) -> DataFrame:
+    """doc_key, kind, n: a row for every kind of issue that a source has."""
+    return (
+        counted_issues(sources).unionByName(unknown_commands(sources))
+        .unionByName(nested_counts(sources).drop("lines"))
+    )
+
+
+def fatal_issues(found: DataFrame) -> DataFrame:
+    """Issues, of ``issues``, that keep a source from being typeset."""
+    return found.where(F.col("kind").isin(*FATAL))
+
 
+def issue_totals(found: DataFrame) -> DataFrame:
+    """kind, n, examples: all kinds over all sources, the most frequent first, with a few keys."""
+    few = F.collect_list("doc_key")
+    first = found.groupBy("kind", "doc_key").agg(F.sum("n").alias("n"))
+    from pyspark.sql import Window
 
-def issue_totals(found: DataFrame, top: int = 30) -> DataFrame:
-    """kind, n, examples: the most frequent kinds over all sources."""
-    return found.groupBy("kind").agg(
-        F.sum("n").alias("n"), F.slice(F.sort_array(F.collect_set("doc_key")), 1, EXAMPLES).alias("examples")
-    ).orderBy(F.desc("n"), "kind").limit(top)
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("doc_key"))
+    sums = first.groupBy("kind").agg(F.sum("n").alias("n"))
+    keys = first.withColumn("r", rank).where(f"r <= {EXAMPLES}").groupBy("kind").agg(F.sort_array(few).alias("examples"))
+    return sums.join(keys, "kind").orderBy(F.desc("n"), "kind")
 
 
 def statistics(sources: DataFrame, by: str = "doc_key") -> DataFrame:
@@ -84,12 +152,29 @@ def statistics(sources: DataFrame, by: str = "doc_key") -> DataFrame:
     )
 
 
-#: Symbols whose counts tell whether a text kept its mathematics.
-DIAGNOSIS = {"structural": "[∑∏∫√]", "greek": "[α-ωΑ-Ω]", "relations": "[≤≥≠≈≡⊂⊆∈]"}
+#: Symbols whose counts tell whether a text kept its mathematics.
+DIAGNOSIS = {"structural": "∑∏∫√", "greek": "λσμθαβγπωδερτφχψΓΔΣΠΩΘΦΛ", "relations": "≤≥≠≈∞∈∪∩⊂"}
 
 
 def diagnose(sources: DataFrame) -> DataFrame:
-    counts = {k: F.regexp_count("text", F.lit(p)).cast("long") for k, p in DIAGNOSIS.items()}
+    """doc_key, structural, greek, relations, verdict: 'unusable' without any of the first two."""
+    counts = {k: F.regexp_count("text", F.lit(f"[{p}]")).cast("long") for k, p in DIAGNOSIS.items()}
     return sources.select("doc_key", *[c.alias(k) for k, c in counts.items()]).withColumn(
         "verdict", F.when((F.col("structural") == 0) & (F.col("greek") == 0), "unusable").otherwise("usable")
     )
+
+
+#: Parts of the names of fonts that carry mathematics.
+MATH_FONT_HINTS = ("MT", "Math", "Cambria", "CM", "wasy", "MSAM", "MSBM", "Symbol", "Optr", "Allphf", "Pearson")
+
+
+def font_report(glyphs: DataFrame, hints=MATH_FONT_HINTS) -> DataFrame:
+    """doc_key, font, n, distinct: glyphs set in fonts of mathematics, and their characters."""
+    font = F.substring_index("font", "+", -1)
+    hit = F.lit(False)
+    for h in hints:
+        hit = hit | font.contains(h)
+    return (
+        glyphs.where(hit & (F.btrim("text") != "")).groupBy("doc_key", font.alias("font"))
+        .agg(F.count("*").alias("n"), F.count_distinct("text").alias("distinct"))
+    )

@@ -8,6 +8,8 @@ one document, is a grouped Arrow function.
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +43,6 @@ def candidates(texts: DataFrame) -> DataFrame:
         "*",
         *[F.lag("s", k).over(order).alias(f"p{k}") for k in (1,)],
         *[F.lead("s", k).over(order).alias(f"n{k}") for k in range(1, 6)],
-        F.collect_list(F.struct("start", "s")).over(order.rowsBetween(-25, -1)).alias("back"),
     )
     low = titles.folded(F.col("s"))
     ok = titles.acceptable_line(F.col("line"))
@@ -93,16 +94,6 @@ def candidates(texts: DataFrame) -> DataFrame:
         & F.coalesce(titles.plausible_title(title), F.lit(False))
         & F.coalesce(below == "", F.lit(True))
     )
-    # section N.1, with the chapter's title as the last lines of a block above it
-    first = r"^\s*([0-9]{1,3})\.1(?:[^0-9]|$)"
-    above = _title_above()
-    n = group(first, 1)
-    bare = F.btrim(F.regexp_replace(F.col("above.title"), F.concat(F.lit("^"), F.col("n"), F.lit(r"\s+")), ""))
-    shorter = F.regexp_extract(bare, r"^[0-9]{1,3}\s+(.+)$", 1)
-    numbered_title = F.when((shorter != "") & titles.plausible_title(shorter), shorter).otherwise(bare)
-    rows = rows.withColumn("n", n).withColumn("above", F.when(F.col("n") != "", above))
-    opened = F.col("above").isNotNull() & F.col("n").try_cast("int").between(1, 200)
-
     found = F.array(
         F.when(chapter, made("chapter", "chapter", group(titles.CHAPTER, 2), label)),
         F.when(division, made("division", "division", group(titles.DIVISION, 2), label)),
@@ -116,15 +107,31 @@ def candidates(texts: DataFrame) -> DataFrame:
             block,
             made("chapter block", "chapter block", value.cast("string"), F.concat_ws(" ", value.cast("string"), title)),
         ),
-        F.when(
-            opened,
-            made(
-                "chapter block", "chapter block", F.col("n").try_cast("int").cast("string"),
-                F.concat_ws(" ", F.col("n").try_cast("int").cast("string"), numbered_title), F.col("above.start"),
-            ),
-        ),
     )
-    return rows.select("doc_key", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("h")).select("doc_key", "h.*")
+    own = rows.select("doc_key", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("h")).select("doc_key", "h.*")
+    return own.unionByName(opened_chapters(texts))
+
+
+def opened_chapters(texts: DataFrame) -> DataFrame:
+    """Chapters whose title stands, as the last lines of a block, above their section N.1.
+
+    Only documents with such a section have lines with the lines above them."""
+    first = r"^\s*([0-9]{1,3})\.1(?:[^0-9]|$)"
+    some = texts.where(F.col("text").rlike(rf"(?:^|[{ENDS}])\s*[0-9]{{1,3}}\.1(?:[^0-9]|$)"))
+    back = Window.partitionBy("doc_key").orderBy("line_no").rowsBetween(-25, -1)
+    stripped = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
+    rows = lines(some).withColumn("s", stripped).withColumn("n", F.regexp_extract("line", first, 1)).withColumn(
+        "back", F.collect_list(F.struct("start", "s")).over(back)
+    )
+    rows = rows.where("n != ''").withColumn("above", _title_above()).withColumn("number", F.col("n").try_cast("int"))
+    bare = F.btrim(F.regexp_replace(F.col("above.title"), F.concat(F.lit("^"), F.col("n"), F.lit(r"\s+")), ""))
+    shorter = F.regexp_extract(bare, r"^[0-9]{1,3}\s+(.+)$", 1)
+    title = F.when((shorter != "") & titles.plausible_title(shorter), shorter).otherwise(bare)
+    name = F.col("number").cast("string")
+    return rows.where("above IS NOT NULL AND number BETWEEN 1 AND 200").select(
+        "doc_key", F.col("above.start").alias("start"), F.concat_ws(" ", name, title).alias("label"),
+        F.concat(F.lit("chapter block "), name).alias("key"), F.lit("chapter block").alias("kind"), "number",
+    )
 
 
 def _title_above():
@@ -207,17 +214,19 @@ def strongest_sequence(found: DataFrame, minimum: int = MINIMUM) -> DataFrame:
         starts, quality = group["start"].tolist(), group["quality"].tolist()
         numbers = [None if x != x or x is None else int(x) for x in group["number"].tolist()]
         best: list[tuple[int, int, int]] = []  # links, score, predecessor
-        at: dict[int, list[int]] = {}
+        # by number: starts so far, and the best heading up to each of them
+        seen: dict[int, tuple[list[int], list[int]]] = {}
         for i, number in enumerate(numbers):
             state = (1, quality[i], -1)
-            for j in at.get(number - 1, ()) if number is not None else ():
-                if starts[i] - starts[j] >= minimum:
-                    longer = (best[j][0] + 1, best[j][1] + quality[i] + 4, j)
-                    if longer[:2] > state[:2]:
-                        state = longer
+            places, leaders = seen.get(number - 1, ([], [])) if number is not None else ([], [])
+            if k := bisect.bisect_right(places, starts[i] - minimum):
+                j = leaders[k - 1]
+                state = max((best[j][0] + 1, best[j][1] + quality[i] + 4, j), state, key=lambda s: s[:2])
             best.append(state)
             if number is not None:
-                at.setdefault(number, []).append(i)
+                places, leaders = seen.setdefault(number, ([], []))
+                places.append(starts[i])
+                leaders.append(i if not leaders or state[:2] > best[leaders[-1]][:2] else leaders[-1])
         i = max(range(len(best)), key=lambda k: best[k][:2])
         path = []
         while i >= 0:

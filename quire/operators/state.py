@@ -6,7 +6,7 @@ Decisions are joins and windows over them; only writing files is imperative.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import naming, titles
@@ -52,10 +52,17 @@ def publish_plan(current: DataFrame, previous: DataFrame, on_disk: DataFrame) ->
     return now.unionByName(gone)
 
 
-def publication_matches(outputs: DataFrame, on_disk: DataFrame) -> DataFrame:
-    """doc_key, matches: whether every output of a document is on disk unchanged."""
-    return outputs.join(on_disk.select("file", F.col("sha256").alias("found")), "file", "left").groupBy("doc_key").agg(
-        F.bool_and(F.coalesce(F.col("sha256") == F.col("found"), F.lit(False))).alias("matches")
+def publication_matches(outputs: DataFrame, on_disk: DataFrame, recorded: DataFrame, settings: Column) -> DataFrame:
+    """doc_key, matches: whether a document was split with these settings, and every output of
+    it is on disk unchanged. ``recorded``: doc_key, split, split_settings (text or map)."""
+    found = outputs.join(on_disk.select("file", F.col("sha256").alias("found")), "file", "left").groupBy("doc_key").agg(
+        F.bool_and(F.coalesce(F.col("sha256") == F.col("found"), F.lit(False))).alias("intact")
+    )
+    kind = dict(recorded.dtypes)["split_settings"]
+    plain = (lambda c: F.array_sort(F.map_entries(c))) if kind.startswith("map") else (lambda c: c)
+    same = F.coalesce(F.col("split"), F.lit(False)) & plain(F.col("split_settings")).eqNullSafe(plain(settings))
+    return recorded.join(found, "doc_key", "left").select(
+        "doc_key", (same & F.coalesce("intact", F.lit(False))).alias("matches")
     )
 
 
@@ -70,11 +77,25 @@ def name_collisions(documents: DataFrame) -> DataFrame:
 
 
 def upload_names(files: DataFrame) -> DataFrame:
-    """job, seq, name: repeated names of a job get _2, _3, ... before the extension."""
-    rank = F.row_number().over(Window.partitionBy("job", "name").orderBy("seq"))
-    stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)
-    return files.withColumn("_r", rank).select(
-        "job", "seq", F.when(F.col("_r") == 1, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("_r").cast("string"), ext)).alias("name")
+    """job, seq, name: a name that the job has already gets the first of _2, _3, ... before
+    its extension that is free. Folders in front of a name go."""
+    parts = r"^(.+?)(\.[^.]+)?$"
+    base = F.element_at(F.split("name", "/"), -1)
+    uploads = files.groupBy("job").agg(F.sort_array(F.collect_list(F.struct("seq", base.alias("name")))).alias("uploads"))
+    none = F.array().cast("array<string>")
+
+    def add(taken, upload):
+        stem, ext = (F.regexp_extract(upload["name"], parts, k) for k in (1, 2))
+        free = F.filter(
+            F.transform(F.sequence(F.lit(2), F.size(taken) + 2), lambda n: F.concat(stem, F.lit("_"), n.cast("string"), ext)),
+            lambda name: ~F.array_contains(taken, name),
+        )
+        first = F.when(F.array_contains(taken, upload["name"]), F.get(free, F.lit(0))).otherwise(upload["name"])
+        return F.array_append(taken, first)
+
+    named = uploads.select("job", "uploads", F.aggregate("uploads", none, add).alias("names"))
+    return named.select("job", F.explode(F.arrays_zip("uploads", "names")).alias("u")).select(
+        "job", "u.uploads.seq", F.col("u.names").alias("name")
     )
 
 

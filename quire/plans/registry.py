@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import latex, naming, titles
-from quire.operators import checks, headings, layout, pages, state
+from quire.functions import latex, naming, symbols, titles
+from quire.operators import checks, conversion, fonts, headings, layout, pages, state
+from quire.sources import files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -258,42 +259,61 @@ def identifier_numbers(spark, d):
     )
 
 
-def book(spark, d) -> DataFrame:
-    """Paged documents whose pages open with a chapter line."""
+#: How the k-th page of a stand-in book opens, by turn: the kind, its label and its text.
+OPENINGS = (
+    ("chapter", "Chapter {k} Opening", "Chapter {k} Opening"),
+    ("division", "Part {k}", "Part {k}"),
+    ("chapter block", "{k} Setting The Scene", "\n{k}\n\nSetting The Scene"),
+    ("numbered section", "{k} Some Section", "{k} Some Section"),
+)
+
+
+def book(spark, d, kinds: int = 1) -> DataFrame:
+    """Paged documents whose pages open with headings of the first ``kinds`` kinds in turn. The
+    pages' own lines are made plain, so that no other line is a heading."""
     from pyspark.sql import Window
 
     k = F.row_number().over(Window.partitionBy("doc_key").orderBy("page_idx"))
-    opened = paged(spark, d).withColumn("text", F.concat(F.lit("Chapter "), k.cast("string"), F.lit(" Opening\n\n"), F.col("text")))
-    return pages.joined_text(opened)
+    opening = F.lit("")
+    for i, (_, _, text) in enumerate(OPENINGS[:kinds]):
+        before, after = text.split("{k}")
+        opening = F.when(F.col("k") % kinds == i, F.concat(F.lit(before), F.col("k").cast("string"), F.lit(after))).otherwise(opening)
+    rows = paged(spark, d).withColumn("k", k).withColumn("text", F.regexp_replace("text", r"[^\p{L}]+", " "))
+    return pages.joined_text(rows.withColumn("text", F.concat(opening, F.lit("\n\n"), F.lit("x "), "text")).drop("k"))
 
 
-BOOK_SQL = """
-numbered AS (SELECT conv_id AS doc_key, turn, 'Chapter ' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || ' Opening' AS line,
-                    coalesce(text, '') AS text FROM conversations),
-placed AS (SELECT doc_key, line, CAST(coalesce(sum(length(line) + 2 + length(text) + 3) OVER (PARTITION BY doc_key ORDER BY turn
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM numbered)
-"""
+def _book_sql(kinds: int) -> str:
+    case = lambda which: "CASE k % " + str(kinds) + " " + " ".join(
+        f"WHEN {i} THEN '" + o[which].replace("{k}", "' || k || '").replace("\n", "' || chr(10) || '") + "'" for i, o in enumerate(OPENINGS[:kinds])
+    ) + " END"
+    return f"""
+numbered AS (SELECT conv_id AS doc_key, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k,
+                    regexp_replace(coalesce(text, ''), '[^\\p{{L}}]+', ' ', 'g') AS text FROM conversations),
+opened AS (SELECT *, {case(0)} AS kind, {case(1)} AS label, {case(2)} AS line FROM numbered),
+placed AS (SELECT *, CAST(coalesce(sum(length(line) + 4 + length(text) + 3) OVER (PARTITION BY doc_key ORDER BY turn
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM opened)"""
 
 
-@query(
-    f"WITH {BOOK_SQL} SELECT doc_key, start, line AS label, 'chapter ' || regexp_extract(line, '[0-9]+') AS key, 'chapter' AS kind, "
-    "CAST(regexp_extract(line, '[0-9]+') AS INTEGER) AS number FROM placed"
-)
+CANDIDATES_SQL = f"""WITH {_book_sql(4)} SELECT doc_key, start + CASE kind WHEN 'chapter block' THEN 1 ELSE 0 END AS start, label,
+ CASE kind WHEN 'numbered section' THEN 'section' ELSE kind END || ' ' || k AS key, kind, CAST(k AS INTEGER) AS number FROM placed"""
+
+
+@query(CANDIDATES_SQL)
 def heading_candidates(spark, d):
-    return headings.candidates(book(spark, d)).where("kind = 'chapter'")
+    return headings.candidates(book(spark, d, 4))
 
 
 @query(
-    f"WITH RECURSIVE {BOOK_SQL}, nodes AS (SELECT doc_key, start, line, CAST(regexp_extract(line, '[0-9]+') AS INTEGER) AS number FROM placed), "
+    f"WITH RECURSIVE {_book_sql(1)}, nodes AS (SELECT doc_key, start, label, CAST(k AS INTEGER) AS number FROM placed), "
     "chains AS (SELECT doc_key, start, number, 1 AS n, [start] AS path FROM nodes UNION ALL "
     "SELECT c.doc_key, b.start, b.number, c.n + 1, list_append(c.path, b.start) FROM chains c JOIN nodes b ON b.doc_key = c.doc_key "
     "AND b.number = c.number + 1 AND b.start - c.start >= 400), "
     "best AS (SELECT doc_key, arg_max(path, n * 1000 - path[1] / 1e9) AS path, max(n) AS n FROM chains GROUP BY doc_key) "
-    "SELECT doc_key, 'chapter' AS method, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_key, unnest(path) FROM best WHERE n >= 2) GROUP BY doc_key"
+    "SELECT doc_key, 'chapter' AS method, start, label, 'chapter ' || number AS key, number "
+    "FROM (SELECT doc_key, unnest(path) AS start FROM best WHERE n >= 2) JOIN nodes USING (doc_key, start)"
 )
 def detected_structure(spark, d):
-    found = headings.detect_structure(book(spark, d), 400).where("method = 'chapter'")
-    return found.groupBy("doc_key", "method").agg(F.count("*").alias("n"))
+    return headings.detect_structure(book(spark, d), 400)
 
 
 def marked_up(spark, d) -> DataFrame:
@@ -365,11 +385,11 @@ def flat_filename(spark, d):
 
 
 STRIP_SQL = (
-    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\$[^$]*\$', ' ', 'gs'),"
-    r" '\\\[.*?\\\]', ' ', 'gs'), '\\begin\{align\*\}.*?\\end\{align\*\}', ' ', 'gs'), '\\[A-Za-z]+\*?', ' ', 'g'), '[{}\\]', ' ', 'g')"
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\$[^$]*\$', ' ', 'gs'),"
+    r" '\\\[.*?\\\]', ' ', 'gs'), '\\begin\{align\*\}.*?\\end\{align\*\}', ' ', 'gs'), '\\[A-Za-z]+', ' ', 'g')"
 )
-WORDS_SQL = f"words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all({STRIP_SQL}, '[A-Za-z]+') AS w FROM documents)"
-GARBLED_SQL = "len(list_filter(w, lambda x: regexp_matches(x, '[a-z][A-Z]|^[^aeiouyAEIOUY]{5,}$|^.{23,}$')))"
+WORDS_SQL = f"words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all({STRIP_SQL}, '[A-Za-z]{{3,}}') AS w FROM documents)"
+GARBLED_SQL = "len(list_filter(w, lambda x: regexp_matches(x, '[a-z][A-Z]') OR regexp_matches(x, '^[^aeiouyAEIOUY]{5,}$') OR length(x) > 22))"
 
 
 @query(f"WITH {WORDS_SQL} SELECT doc_id, CAST(len(w) AS BIGINT) AS words, CAST({GARBLED_SQL} AS BIGINT) AS garbled FROM words")
@@ -389,42 +409,108 @@ def statistics_rollup(spark, d):
     return checks.statistics(docs, "source")
 
 
+#: Constructs put in front of texts, so that all are counted.
+MARKED = r"\[ \frac{1}{2} \] \sqrt x \text{if} \$ $"
+
+
 @query(
     "SELECT conv_id, turn, "
     + ", ".join(
-        f"CAST(len(regexp_extract_all(s, '{p}')) AS BIGINT) AS {k}" for k, p in latex.CONSTRUCTS.items()
+        f"CAST(len(regexp_extract_all(s, '{p}')) AS BIGINT) AS \"{k}\"" for k, p in latex.CONSTRUCTS.items()
     )
-    + r", CAST(len(regexp_extract_all(s, '\$')) // 2 AS BIGINT) AS inline FROM (SELECT conv_id, turn, '\section{' || role || '} \[ x_{1} \]' || coalesce(text, '') AS s FROM conversations)"
+    + r''', CAST((len(regexp_extract_all(s, '\$')) - len(regexp_extract_all(s, '\\\$'))) // 2 AS BIGINT) AS "inline formulas" '''
+    + rf"FROM (SELECT conv_id, turn, '\section{{' || role || '{MARKED}' || coalesce(text, '') AS s FROM conversations)"
 )
 def construct_counts(spark, d):
     rows = table(spark, d, "conversations").select(
-        "conv_id", "turn", F.concat(F.lit("\\section{"), "role", F.lit("} \\[ x_{1} \\]"), F.coalesce("text", F.lit(""))).alias("s")
+        "conv_id", "turn", F.concat(F.lit("\\section{"), "role", F.lit(MARKED), F.coalesce("text", F.lit(""))).alias("s")
     )
     return rows.select("conv_id", "turn", *[c.alias(k) for k, c in latex.construct_counts(F.col("s")).items()])
 
 
-# --- checks ----------------------------------------------------------------------------
+def _case(table: dict[str, str], value: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"CASE {value} " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in table.items()) + f" ELSE {value} END"
+
+
+TOKENS = symbols.TEXT_ESCAPES | {k: f"${v}$" for k, v in symbols.UNICODE.items()}
+PROSE_SQL = f"""typed AS (SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(coalesce(text, ''), '[ \\t]+', ' ', 'g'), ''), lambda c: {_case(TOKENS, 'c')}), '') AS t FROM documents),
+signed AS (SELECT doc_id, {"replace(" * len(latex.SIGNS)}t{"".join(", '" + a.replace("'", "''") + "', '" + b.replace("'", "''") + "')" for a, b in latex.SIGNS)} AS t FROM typed),
+merged AS (SELECT doc_id, replace(regexp_replace(regexp_replace(t, '\\$\\s+\\$', '\\\\ ', 'g'), '(\\\\[A-Za-z]+)\\$\\$(\\p{{L}})', '\\1 \\2', 'g'), '$$', '') AS t FROM signed)"""
+
+
+@query(f"WITH {PROSE_SQL} SELECT doc_id, sha256(t) AS sha256 FROM merged")
+def prose_latex(spark, d):
+    plain = F.col("text")
+    return prose(spark, d).select(F.col("doc_key").alias("doc_id"), F.sha2(latex.prose(plain), 256).alias("sha256"))
 
 
 @query(
-    r"""WITH p AS (SELECT doc_id AS doc_key, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '\\.', '', 'gs') AS plain FROM documents),
-i AS (SELECT doc_key, 'odd dollars' AS kind, len(list_filter(string_split(plain, chr(10) || chr(10)), lambda x: (length(x) - length(replace(x, '$', ''))) % 2 = 1)) AS n FROM p
-UNION ALL SELECT doc_key, 'empty maths', len(regexp_extract_all(plain, '\$[ \t]*\$')) FROM p
-UNION ALL SELECT doc_key, 'control character', len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')) FROM p)
-SELECT doc_key, kind, CAST(n AS BIGINT) AS n FROM i WHERE n > 0"""
+    r"SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), ''), "
+    "'file ' || page_id) AS title FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE html END AS html FROM pages)"
 )
+def document_titles(spark, d):
+    title = F.when(F.col("page_id") % 3 != 0, F.col("title"))
+    name = F.concat(F.lit("some/folder/file "), F.col("page_id").cast("string"), F.lit(".pdf"))
+    return titled(spark, d).select("page_id", files.document_title(title, name).alias("title"))
+
+
+# --- checks ----------------------------------------------------------------------------
+
+#: Faults put behind texts, by key: the text, and what is found in it.
+FAULTS = (
+    ("", {}),
+    ("\\begin{a} \\end{b} \\end{c}", {"mismatched environment": 1, "stray \\end": 1}),
+    ("{ \\{ x_1_2 y^1^2", {"unclosed braces at EOF": 1, "double subscript": 1, "double superscript": 1}),
+    ("}} \\foo \\foo \\frac", {"unbalanced brace": 2, "unknown command \\foo": 2}),
+    ("\\left( \\begin{d}", {"left/right mismatch": 1, "unclosed environment": 1}),
+    ("\\$", {}),
+)
+
+
+def faulty(spark, d) -> DataFrame:
+    tails = F.array(*[F.lit("\n\n" + t) for t, _ in FAULTS])
+    plain = F.translate("text", "_^{}\\", "     ")
+    return prose(spark, d).withColumn("text", F.concat(plain, F.get(tails, (F.col("doc_key") % len(FAULTS)).cast("int"))))
+
+
+FAULTS_SQL = r"""p AS (SELECT doc_id AS doc_key, translate(coalesce(text, ''), '_^{}\', '     ') AS text FROM documents),
+i AS (SELECT doc_key, 'odd $ count in paragraph' AS kind, len(list_filter(string_split(text, chr(10) || chr(10)), lambda x: (length(x) - length(replace(x, '$', ''))) % 2 = 1)) AS n FROM p
+UNION ALL SELECT doc_key, 'empty maths', len(regexp_extract_all(text, '\$[ \t]*\$')) FROM p
+UNION ALL SELECT doc_key, 'undecoded control char', len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')) FROM p
+""" + "\n".join(
+    f"UNION ALL SELECT doc_key, '{kind}', {n} FROM p WHERE doc_key % {len(FAULTS)} = {k}" for k, (_, found) in enumerate(FAULTS) for kind, n in found.items()
+) + ")"
+
+
+@query(f"WITH {FAULTS_SQL} SELECT doc_key, kind, CAST(n AS BIGINT) AS n FROM i WHERE n > 0")
 def check_issues(spark, d):
-    return checks.issues(prose(spark, d))
+    return checks.issues(faulty(spark, d))
+
+
+@query(
+    f"WITH {FAULTS_SQL} SELECT kind, CAST(sum(n) AS BIGINT) AS n, list_sort(list(doc_key))[:4] AS examples FROM i WHERE n > 0 GROUP BY kind"
+)
+def issue_totals(spark, d):
+    return checks.issue_totals(checks.issues(faulty(spark, d)))
 
 
 @query(
-    r"""WITH p AS (SELECT doc_id AS doc_key, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_key,
- CAST(len(regexp_extract_all(t, '[∑∏∫√]')) AS BIGINT) AS structural, CAST(len(regexp_extract_all(t, '[α-ωΑ-Ω]')) AS BIGINT) AS greek,
- CAST(len(regexp_extract_all(t, '[≤≥≠≈≡⊂⊆∈]')) AS BIGINT) AS relations FROM p)
-SELECT *, CASE WHEN structural = 0 AND greek = 0 THEN 'unusable' ELSE 'usable' END AS verdict FROM c"""
+    f"WITH {FAULTS_SQL} SELECT doc_key, CAST(sum(n) AS BIGINT) AS n FROM i WHERE n > 0 AND kind IN ("
+    + ", ".join(f"'{k}'" for k in checks.FATAL) + ") GROUP BY doc_key"
+)
+def fatal_gate(spark, d):
+    return checks.fatal_issues(checks.issues(faulty(spark, d))).groupBy("doc_key").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "WITH p AS (SELECT doc_id AS doc_key, coalesce(text, '') || repeat('∑λ≤', CAST(doc_id % 3 AS INTEGER)) AS t FROM documents), c AS (SELECT doc_key, "
+    + ", ".join(f"CAST(len(regexp_extract_all(t, '[{v}]')) AS BIGINT) AS {k}" for k, v in checks.DIAGNOSIS.items())
+    + " FROM p) SELECT *, CASE WHEN structural = 0 AND greek = 0 THEN 'unusable' ELSE 'usable' END AS verdict FROM c"
 )
 def source_diagnosis(spark, d):
-    return checks.diagnose(prose(spark, d))
+    signs = F.expr("repeat('∑λ≤', cast(doc_key % 3 AS int))")
+    return checks.diagnose(prose(spark, d).withColumn("text", F.concat("text", signs)))
 
 
 # --- layout ----------------------------------------------------------------------------
@@ -667,6 +753,210 @@ def upload_names(spark, d):
     return state.upload_names(files)
 
 
+# --- fonts -----------------------------------------------------------------------------
+
+
+def coded(spark, d) -> DataFrame:
+    """A font object per part."""
+    key = F.col("p_partkey").cast("string")
+    encoding = F.concat(F.lit("<< /Differences [ "), (F.col("p_partkey") % 100).cast("string"), F.lit(" /a /b 200 /c] >>"))
+    cmap = F.concat(
+        F.lit("2 beginbfchar <41> <03B1> <42> <0000"), F.lpad(key, 4, "0"), F.lit("> endbfchar\n1 beginbfrange <C8> <CA> <0391> endbfrange")
+    )
+    widths = F.concat(F.lit("/FirstChar 32 /Widths [250 "), key, F.lit(".5 ]"))
+    return table(spark, d, "part").where("p_partkey < 10000").select(
+        F.col("p_partkey").alias("doc_key"), F.lit(0).alias("page_idx"), F.lit("F").alias("font"),
+        widths.alias("object"), encoding.alias("encoding"), cmap.alias("to_unicode"),
+    )
+
+
+@query(
+    "SELECT p_partkey AS doc_key, CAST(p_partkey % 100 + k AS INTEGER) AS code, ['a', 'b'][k + 1] AS glyph FROM part, (SELECT unnest([0, 1]) AS k) WHERE p_partkey < 10000 "
+    "UNION ALL SELECT p_partkey, 200, 'c' FROM part WHERE p_partkey < 10000"
+)
+def font_differences(spark, d):
+    return fonts.differences(coded(spark, d)).select("doc_key", "code", "glyph")
+
+
+@query(
+    "SELECT p_partkey AS doc_key, unnest([65, 200, 201, 202]) AS code, unnest(['α', 'Α', 'Β', 'Γ']) AS character FROM part WHERE p_partkey < 10000"
+)
+def font_characters(spark, d):
+    return fonts.cmap_pairs(coded(spark, d)).where("code != 66").select("doc_key", "code", "character")
+
+
+@query(
+    "SELECT p_partkey AS doc_key, unnest([32, 33]) AS code, unnest([250.0, p_partkey + 0.5])::DOUBLE AS width FROM part WHERE p_partkey < 10000"
+)
+def font_widths(spark, d):
+    return fonts.widths(coded(spark, d)).select("doc_key", "code", "width")
+
+
+NAMES = ("summationdisplay", "parenleftBigg", "union", "braceex", None, None, "bracerighttp")
+CHARACTERS = {"A": "−", "N": "λ", "R": "$"}
+
+
+def symbolic(spark, d) -> DataFrame:
+    """Glyphs with names and characters of mathematics."""
+    names = F.array(*map(F.lit, NAMES))
+    table = F.create_map(*[F.lit(x) for pair in CHARACTERS.items() for x in pair])
+    return glyphs(spark, d).withColumn("name", F.get(names, F.col("flags") - 1)).withColumn("text", F.element_at(table, F.col("text")))
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+SYMBOLIC_SQL = f"{GLYPHS_SQL}, named AS (SELECT * REPLACE ({_case(CHARACTERS, 'text')} AS text), {_sql_list(NAMES)}[flags] AS name FROM glyphs)"
+
+
+@query(
+    f"WITH {SYMBOLIC_SQL}, t AS (SELECT unnest({_sql_list(symbols.NAMED)}) AS name, unnest({_sql_list(symbols.NAMED.values())}) AS token), "
+    f"u AS (SELECT unnest({_sql_list(symbols.UNICODE)}) AS text, unnest({_sql_list(symbols.UNICODE.values())}) AS token) "
+    "SELECT doc_key, page_idx, pos, coalesce(t.token, u.token, CASE WHEN name = 'braceex' THEN '' WHEN text = '$' THEN '\\$' ELSE text END) AS latex "
+    "FROM named LEFT JOIN t USING (name) LEFT JOIN u USING (text)"
+)
+def glyph_lookup(spark, d):
+    return fonts.resolve_tokens(symbolic(spark, d)).select("doc_key", "page_idx", "pos", "latex")
+
+
+@query(
+    f"WITH {SYMBOLIC_SQL} SELECT font, text, min({{'doc_key': doc_key, 'page_idx': page_idx, 'pos': pos}}).pos AS pos, count(*) AS n "
+    "FROM named WHERE font = 'CMMI10' GROUP BY font, text"
+)
+def first_occurrences(spark, d):
+    return fonts.first_occurrences(symbolic(spark, d)).select("font", "text", "pos", "n")
+
+
+@query(
+    f"WITH {GLYPHS_SQL}, l AS (SELECT *, CASE text WHEN 'A' THEN ['f', 'f', 'i'] WHEN 'N' THEN ['f', 'l'] ELSE [text] END AS parts FROM glyphs), "
+    "e AS (SELECT doc_key, page_idx, pos, unnest(parts) AS letter, generate_subscripts(parts, 1) - 1 AS k, len(parts) AS n, x0 AS a, x1 - x0 AS w FROM l) "
+    "SELECT doc_key, page_idx, pos, letter, a + k * w / n AS x0, a + (k + 1) * w / n AS x1 FROM e"
+)
+def ligature_expand(spark, d):
+    table = F.create_map(*[F.lit(x) for x in ("A", "ﬃ", "N", "ﬂ", "R", "R")])
+    rows = glyphs(spark, d).withColumn("text", F.element_at(table, F.col("text")))
+    return layout.expand_ligatures(rows).select("doc_key", "page_idx", "pos", F.col("text").alias("letter"), "x0", "x1")
+
+
+# --- conversion ------------------------------------------------------------------------
+
+
+def entries_of(spark, d, wanted=None) -> DataFrame:
+    """An entry per document and route, which labels say to be done, and files of each."""
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("doc_key"), "quality", "toxic")
+    files_ = F.array(F.struct("file", "sha256", F.lit("Head").alias("heading"), F.lit(1).cast("long").alias("characters")))
+    none = F.array().cast(conversion.OUTPUT)
+    routes = F.explode(F.array(
+        F.struct(F.lit("traditional").alias("route"), (F.col("quality") == 1).alias("good")),
+        F.struct(F.lit("pdf2tex").alias("route"), (F.col("toxic") == 0).alias("good")),
+    )).alias("r")
+    rows = outputs_of(spark, d).join(labels, "doc_key").select("doc_key", "file", "sha256", "quality", routes).select("*", "r.*")
+    print_ = F.when(F.col("route") == "traditional", conversion.fingerprint(F.col("sha256"), "traditional")).otherwise(
+        conversion.fingerprint(F.col("sha256"), "pdf2tex")
+    )
+    return rows.select(
+        "doc_key", "route", F.when(F.col("good"), print_).otherwise(F.create_map(F.lit("sha256"), F.lit("old"))).alias("fingerprint"),
+        F.lit(True).alias("extracted"), F.lit(True).alias("split"), conversion.settings_for(3000).alias("split_settings"),
+        F.lit("PDF bookmarks").alias("method"), files_.cast(conversion.OUTPUT).alias("outputs"), none.alias("pending"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
+@query(
+    "SELECT d.doc_id AS doc_key, coalesce(quality, 0) <> 1 AS reset, coalesce(quality, 0) = 1 AS extracted, "
+    "CAST(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS files FROM documents d LEFT JOIN labels l USING (doc_id)"
+)
+def entry_invalidation(spark, d):
+    found = conversion.fresh_entries(
+        outputs_of(spark, d), entries_of(spark, d), "traditional", conversion.fingerprint(F.col("sha256"), "traditional")
+    )
+    return found.select("doc_key", F.coalesce("reset", F.lit(True)).alias("reset"), "extracted", F.size("outputs").alias("files"))
+
+
+@query(
+    "SELECT doc_id AS doc_key, CASE WHEN quality = 1 THEN 'traditional' ELSE 'pdf2tex' END AS route FROM documents JOIN labels USING (doc_id) "
+    "WHERE (quality = 1 OR toxic = 0) AND doc_id % 10 <> 0"
+)
+def completed_entries(spark, d):
+    documents = outputs_of(spark, d)
+    disk = documents.withColumn("sha256", F.when(F.col("doc_key") % 10 == 0, "edited").otherwise(F.col("sha256")))
+    wanted = {r: conversion.fingerprint(F.col("sha256"), r) for r in state.ROUTES}
+    return conversion.completed(documents, entries_of(spark, d), disk, wanted, conversion.settings_for(3000))
+
+
+@query("SELECT conv_id AS doc_key, CAST(turn AS INTEGER) AS page_idx FROM conversations WHERE turn % 2 = 1 OR turn % 6 = 0")
+def page_resume(spark, d):
+    whole = paged(spark, d)
+    counts = whole.groupBy("doc_key").agg((F.max("page_idx") + 1).alias("n_pages"))
+    cache = conversion.stored_pages(whole.where("page_idx % 2 = 0"), "traditional").withColumn(
+        "sha256", F.when(F.col("page_idx") % 6 == 0, "damaged").otherwise(F.col("sha256"))
+    )
+    entries = counts.select("doc_key", F.lit("traditional").alias("route"), F.lit(False).alias("reset"))
+    missing = conversion.missing_pages(counts, conversion.valid_pages(cache, entries))
+    return missing.join(whole.select("doc_key", "page_idx"), ["doc_key", "page_idx"], "left_semi")
+
+
+@query(
+    "SELECT d.doc_id AS doc_key, CASE WHEN l.doc_id IS NULL THEN 'skipped' WHEN quality = 1 THEN 'traditional' WHEN toxic = 0 THEN 'pdf2tex' ELSE 'failed' END AS status, "
+    "CASE WHEN quality = 0 THEN 'first' || chr(10) || 'bad text' END AS traditional_error, CASE WHEN quality = 0 AND toxic = 1 THEN 'no model' END AS pdf2tex_error "
+    "FROM documents d LEFT JOIN labels l USING (doc_id)"
+)
+def run_outcomes(spark, d):
+    return outcomes_of(spark, d)
+
+
+def outcomes_of(spark, d) -> DataFrame:
+    documents = outputs_of(spark, d)
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("doc_key"), "quality", "toxic")
+    done = documents.join(labels, "doc_key", "left_anti").select("doc_key", F.lit("traditional").alias("route"))
+    errors = {
+        "traditional": labels.where("quality = 0").select("doc_key", F.lit("first\nbad text").alias("message")),
+        "pdf2tex": labels.where("toxic = 1").select("doc_key", F.lit("no model").alias("message")),
+    }
+    return conversion.outcomes(documents, done, errors)
+
+
+@query(
+    "SELECT doc_id AS doc_key, unnest(['traditional', 'pdf2tex']) AS route, unnest(['bad text', 'no model']) AS line "
+    "FROM labels JOIN documents USING (doc_id) WHERE quality = 0 AND toxic = 1"
+)
+def failure_lines(spark, d):
+    return conversion.failure_lines(outcomes_of(spark, d))
+
+
+@query(
+    "SELECT doc_id AS doc_key, unnest(['traditional', 'pdf2tex']) AS route, unnest([1, 0]) AS files, unnest([1, 0]) AS taken "
+    "FROM labels JOIN documents USING (doc_id)"
+)
+def superseded_entries(spark, d):
+    return conversion.supersede(entries_of(spark, d), "traditional").select(
+        "doc_key", "route", F.size("outputs").alias("files"), F.size("pending").alias("taken")
+    )
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) "
+    "- row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS island FROM events) "
+    "SELECT user_id AS doc_key, min(event_id) AS start, event_type AS label FROM e GROUP BY user_id, event_type, island"
+)
+def adjacent_dedupe(spark, d):
+    found = table(spark, d, "events").select(
+        F.col("user_id").alias("doc_key"), F.col("event_id").alias("start"), F.col("event_type").alias("label"),
+        F.col("event_type").alias("key"), F.lit("chapter").alias("kind"), F.lit(None).cast("int").alias("number"),
+    )
+    return headings.collapse_repeats(found).select("doc_key", "start", "label")
+
+
+@query("SELECT event_id AS job_id, CASE event_type WHEN 'click' THEN 'interrupted' ELSE event_type END AS status FROM events WHERE event_type <> 'view'")
+def jobs_newest(spark, d):
+    jobs = table(spark, d, "events").select(
+        F.col("event_id").alias("job_id"), F.col("ts").alias("created_at"),
+        F.when(F.col("event_type") == "view", "discarding").when(F.col("event_type") == "click", "queued").otherwise(F.col("event_type")).alias("status"),
+    )
+    return state.newest_jobs(state.recover_jobs(jobs)).select("job_id", "status")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

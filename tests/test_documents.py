@@ -84,11 +84,29 @@ def test_contents_page_is_dropped(spark):
 
 
 def test_checks(spark):
-    doc = texts(spark, "a}", "{x $y$ $z", "\\begin{a}\\end{b}\\end{c}\\begin{d}", "fine $x_{1}$")
+    doc = texts(spark, "a}", "{x $y$ $z", "\\begin{a}\\end{b}\\end{c}\\begin{d}", "fine $x_{1}$", "x_1_2\n\\odd $ $")
     got = {(r.doc_key, r.kind): r.n for r in checks.issues(doc).collect()}
-    assert got == {(0, "unbalanced brace"): 1, (1, "unclosed brace"): 1, (1, "odd dollars"): 1, (1, "empty maths"): 1}
-    got = {r.kind: r.n for r in checks.environment_issues(doc).collect()}
-    assert got == {"mismatched environment": 1, "stray end": 1, "unclosed environment": 1}
+    assert got == {
+        (0, "unbalanced brace"): 1, (1, "unclosed braces at EOF"): 1, (1, "odd $ count in paragraph"): 1, (1, "empty maths"): 1,
+        (2, "mismatched environment"): 1, (2, "stray \\end"): 1, (2, "unclosed environment"): 1,
+        (4, "double subscript"): 1, (4, "unknown command \\odd"): 1, (4, "empty maths"): 1,
+    }
+    assert {r.doc_key for r in checks.fatal_issues(checks.issues(doc)).collect()} == {0, 1, 2}
+    assert [r.lines for r in checks.nested_counts(doc).where("doc_key = 4").collect()] == [[1]]
+    totals = checks.issue_totals(checks.issues(doc)).collect()
+    assert totals[0].kind == "empty maths" and totals[0].n == 2 and totals[0].examples == [1, 4]
+    glyphs = spark.createDataFrame([(1, "AB+CMMI10", "x"), (1, "CMMI10", "y"), (1, "Times", "z")], "doc_key long, font string, text string")
+    assert [tuple(r) for r in checks.font_report(glyphs).collect()] == [(1, "CMMI10", 2, 2)]
+
+
+def test_books(spark):
+    row = spark.range(1)
+    one = lambda c: row.select(c.alias("y")).first().y
+    out = one(latex.book_document(F.lit("A & B"), F.lit("x\n\f\ny"), F.lit("f_1.pdf"), F.lit("T"), F.lit("")))
+    assert "\\title{T}" in out and "\\chapter{A \\& B}\n\n% Source: f\\_1.pdf\n\nx\n\ny\n\n\\end{document}\n" in out
+    assert "\\chapter" not in one(latex.book_document(F.lit(""), F.lit("x"), F.lit("f"), F.lit("T"), F.lit("")))
+    main = one(latex.scaffold(F.lit("T"), F.lit("A"), F.lit("1st"), F.array(F.lit(1), F.lit(12))))
+    assert "\\include{chapter01}\n\\include{chapter12}\n" in main and main.endswith("\\end{document}\n")
 
 
 def test_bands_and_gutter(spark):
@@ -140,7 +158,7 @@ def test_scan_and_catalog(spark, tmp_path):
     for name in ("b.pdf", "math/a.PDF", "math/deep/c.Pdf", "notes.txt", "._x.pdf", "out/z.pdf"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("%PDF-1.4 stub")
-    found = files.find_documents(spark, str(tmp_path), ("out",)).collect()
+    found = files.document_names(files.find_documents(spark, str(tmp_path), ("out",))).collect()
     assert [r.relative for r in found] == ["b.pdf", "math/a.PDF", "math/deep/c.Pdf"]
     outputs = plan(spark, ["one", "two"]).select("*", F.lit("b.pdf").alias("source_file"), F.lit("m").alias("method"), F.lit("c").alias("converter"))
     files.write_catalog(pages.catalog(outputs), tmp_path / "catalog.tsv")

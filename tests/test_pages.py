@@ -1,0 +1,164 @@
+"""Glyphs to page text: segmentation, inline rendering, fonts, decoding."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.functions import inline, pagecut
+from quire.operators import fonts, segment
+from quire.sources import files
+
+GLYPH = "doc_key string, page_idx int, pos long, text string, name string, font string, size double, x0 double, y0 double, x1 double, y1 double, ox double, oy double, flags int"
+RULE = "doc_key string, page_idx int, pos long, x0 double, y0 double, x1 double, y1 double"
+
+
+def line(text, x, oy, size=10.0, font="Times", flags=0, step=5.0):
+    return [
+        {"text": c, "name": None, "font": font, "size": size, "x0": x + step * k, "y0": oy - 0.7 * size,
+         "x1": x + step * (k + 1) - 0.5, "y1": oy + 0.2 * size, "ox": x + step * k, "oy": oy, "flags": flags}
+        for k, c in enumerate(text)
+    ]
+
+
+BODY = "the running text of a page goes on from line to line and fills it"
+
+
+def page():
+    glyphs = line("1.2 Sets & maps", 50, 80, 17.0, "GoudySansPro-Bold", step=9.0)
+    for k in range(4):
+        glyphs += line(BODY, 100, 110 + 14.0 * k)
+    glyphs += line("Example", 40, 125, font="GoudySansPro-Medium")
+    glyphs += line("x", 230, 190, font="CMMI10") + line("=", 240, 190, font="CMSY10") + line("y", 250, 190, font="CMMI10")
+    glyphs += line("Next we go on with the page as before, to its end-", 110, 220) + line("ing, where it stops at last for good and all, I say.", 100, 234)
+    return glyphs
+
+
+def test_segments_in_reading_order():
+    size, groups = pagecut.analyse(page(), [])
+    kinds = [inline.classify(g) for g in groups]
+    assert size == 10.0
+    assert kinds[0] == "section" and "display" in kinds and kinds.count("text") >= 6
+    assert [g.text() for g in groups if inline.classify(g) == "text"][0] == BODY
+
+
+def test_page_latex():
+    text = inline.page_latex(page(), [])
+    assert text.startswith("\\section{Sets \\& maps}\n\n")
+    assert "\\[\n  x" in text and "to its ending, where it stops" in text
+    assert text.count("{") == text.count("}") and inline.page_latex([], []) == ""
+
+
+def test_margin_notes_are_read_first():
+    glyphs = [x for k in range(5) for x in line(BODY, 100, 110 + 14.0 * k)]
+    glyphs += line("Note", 40, 125)
+    _, groups = pagecut.analyse(glyphs, [])
+    at = [g.margin for g in groups].index(True)
+    assert groups[at].text() == "Note" and groups[at + 1].base == pytest.approx(124.0)
+
+
+def test_columns_are_read_one_after_the_other():
+    glyphs = []
+    for k in range(12):
+        glyphs += line("left column text is in it", 50, 100 + 14.0 * k) + line("right column text is in", 300, 100 + 14.0 * k)
+    parts = pagecut.regions([g for g in pagecut.parse(glyphs, [])[0]], 10.0)
+    assert len(parts) == 2 and max(g.x1 for g in parts[0]) < min(g.x0 for g in parts[1])
+
+
+def test_footnotes_follow_the_text():
+    glyphs = [x for k in range(20) for x in line(BODY, 100, 100 + 14.0 * k)] + line("a footnote below the rule", 100, 400, 8.0)
+    rule = {"x0": 100.0, "y0": 385.0, "x1": 160.0, "y1": 385.0}
+    assert pagecut.footnote_rule(*pagecut.parse(glyphs, [rule])).y == 385.0
+    assert pagecut.analyse(glyphs, [rule])[1][-1].text().startswith("a footnote")
+
+
+def test_lines_tied_by_a_formula_are_parted():
+    strip = line(BODY, 100, 100) + line(BODY, 100, 114)
+    tall = {"text": "(", "name": "parenleftBig", "font": "MTEX", "size": 10.0, "x0": 450.0, "y0": 92.0, "x1": 455.0, "y1": 118.0, "ox": 450.0, "oy": 104.0, "flags": 0}
+    glyphs, _ = pagecut.parse([*strip, tall], [])
+    solid = [g for g in glyphs if not g.blank]
+    assert len(pagecut.strips(solid)) == 1
+    assert len(pagecut.prose_lines(solid, 10.0, [], 360.0, 100.0)) == 2
+
+
+def test_inline_runs():
+    def latex(*parts):
+        x, glyphs = 0.0, []
+        for text, font, flags in parts:
+            glyphs += line(text, x, 100, font=font, flags=flags)
+            x += 5.0 * len(text)
+        return inline.line(pagecut.parse(glyphs, [])[0])
+
+    assert latex(("let ", "Times", 0), ("x", "CMMI10", 0), (" = 2 be", "Times", 0)) == "let $x\\ =\\ 2$ be"
+    assert latex(("an ", "Times", 0), ("important", "Times-Italic", 2), (" word", "Times", 0)) == "an \\emph{important} word"
+    assert latex(("Proof.", "Times-Bold", 16), (" It is", "Times", 0)) == "\\textbf{Proof.}  It is".replace("  ", " ")
+    assert inline.escape("50% & “x” – y_1 ≤ 2") == "50\\% \\& ``x'' -- y\\_1 $\\leq$ 2"
+
+
+def table(spark, glyphs, rules=()):
+    rows = [("d", 0, k, *(g[c] for c in ("text", "name", "font", "size", "x0", "y0", "x1", "y1", "ox", "oy", "flags"))) for k, g in enumerate(glyphs)]
+    lines = [("d", 0, k, r["x0"], r["y0"], r["x1"], r["y1"]) for k, r in enumerate(rules)]
+    as_floats = [tuple(float(x) if isinstance(x, int) and i not in (1, 2, 13) else x for i, x in enumerate(r)) for r in rows]
+    return spark.createDataFrame(as_floats, GLYPH), spark.createDataFrame(lines, RULE)
+
+
+def test_pages_as_tables(spark):
+    glyphs, rules = table(spark, page())
+    out = segment.page_latex(glyphs, rules).collect()
+    assert [(r.doc_key, r.page_idx, r.method) for r in out] == [("d", 0, "traditional")]
+    assert out[0].text == inline.page_latex(page(), [])
+    found = segment.groups(glyphs, rules).orderBy("reading").collect()
+    assert sum(len(r.glyphs) for r in found) <= len(page()) and found[0].kind == "section"
+    assert segment.xy_gap_cut(glyphs).count() >= 1
+    assert segment.page_latex(glyphs.limit(0), rules).count() == 0
+
+
+def test_bad_pages_and_files_do_not_end_a_run(spark):
+    def reader(content):
+        def good():
+            return "text", [("a", None, "F", 10.0, 0.0, 0.0, 5.0, 9.0, 0.0, 8.0, 0)], [(0.0, 1.0, 9.0, 1.0)]
+
+        def bad():
+            raise RuntimeError("damaged")
+
+        if content == b"closed":
+            raise ValueError("password protected")
+        return [good, bad, good]
+
+    docs = spark.createDataFrame([("a.pdf", bytearray(b"open")), ("b.pdf", bytearray(b"closed"))], "relative string, content binary")
+    decoded = files.decode_pages(docs, reader)
+    got = {(r.relative, r.page_idx): (r.method, r.text, r.message) for r in decoded.collect()}
+    assert got[("a.pdf", 1)] == ("error", None, "RuntimeError: damaged") and got[("a.pdf", 2)][:2] == ("text", "text")
+    assert got[("b.pdf", -1)][2] == "ValueError: password protected" and len(got) == 4
+    assert files.page_glyphs(decoded).count() == 2 and files.page_rules(decoded).count() == 2
+
+
+def test_font_maps(spark):
+    cmap = "1 beginbfchar <01> <03B1> <2> <D835DC00> <03> <D8> endbfchar 1 beginbfrange <10> <11> <0041> endbfrange"
+    font = spark.createDataFrame(
+        [("d", 0, "MTEX", "/FirstChar 1 /Widths [500 250]", "/Differences [1 /alpha /beta 65 /A 1 /gamma]", cmap), ("d", 0, "X", "/Widths [a]", "", None)],
+        "doc_key string, page_idx int, font string, object string, encoding string, to_unicode string",
+    )
+    assert {(r.code, r.glyph) for r in fonts.differences(font).collect()} == {(1, "gamma"), (2, "beta"), (65, "A")}
+    pairs = {r.code: r.character for r in fonts.cmap_pairs(font).collect()}
+    assert pairs == {1: "α", 2: "\U0001d400", 3: "Ø", 16: "A", 17: "B"}
+    maps = fonts.glyph_map(font)
+    assert {(r.text, r.name) for r in maps.collect()} == {("α", "gamma"), ("\U0001d400", "beta"), ("A", "A"), ("Ø", None), ("B", None)}
+    width = fonts.widths(font)
+    assert {(r.code, r.width) for r in width.collect()} == {(1, 500.0), (2, 250.0)}
+    rows = line("α", 0, 100, font="MTEX") + line("q", 10, 100, font="MTEX")
+    glyphs, _ = table(spark, rows)
+    assert {r.text: r.name for r in fonts.name_glyphs(glyphs, maps, width).collect()} == {"α": "gamma", "q": None}
+    boxes = spark.createDataFrame([("MTEX", "q", -250, 900)], "font string, glyph string, bottom int, top int")
+    tall = {r.text: (r.y0, r.y1) for r in fonts.true_extents(glyphs, boxes).collect()}
+    assert tall["q"] == (91.0, 102.5) and tall["α"] == (93.0, 102.0)
+    found = spark.createDataFrame([("d", 0, "MTEX", ord("q"), 10.0, 100.0, "∫")], "doc_key string, page_idx int, font string, code int, ox double, oy double, character string")
+    assert {r.text for r in fonts.replace_characters(glyphs, found).collect()} == {"α", "∫"}
+    assert {r.text for r in fonts.first_occurrences(glyphs).collect()} == {"α", "q"}
+    outlines = spark.createDataFrame([("F", 1, "a", 0.2, 9.6), ("F", 2, "a", 0.0, 8.0), ("F", 2, "b", 0.0, 7.0)], "font string, subset int, glyph string, bottom double, top double")
+    assert {(r.glyph, r.top) for r in fonts.outline_boxes(outlines).collect()} == {("a", 8), ("b", 7)}
+    assert fonts.resolve_tokens(glyphs).where("text = 'α'").first().latex == "\\alpha"
+
+
+def test_titles_of_documents(spark):
+    rows = spark.createDataFrame([(" A  book\n", "x/y.pdf"), ("", "x/my.book.pdf"), (None, "plain")], "t string, f string")
+    got = [r.n for r in rows.select(files.document_title(F.col("t"), F.col("f")).alias("n")).collect()]
+    assert got == ["A book", "my.book", "plain"]

@@ -34,8 +34,8 @@ def test_braces(spark):
 
 
 def test_join_lines(spark):
-    rows = spark.createDataFrame([(["exam-", "ple text"],), (["a--", "b"],), (["a-", "B"],), ([],), (["x", "", "y"],)], "l array<string>")
-    assert [r.y for r in rows.select(latex.join_lines(F.col("l")).alias("y")).collect()] == ["example text", "a-- b", "a- B", "", "x y"]
+    rows = spark.createDataFrame([(["exam-", "ple text"],), (["a--", "b"],), (["a-", "B"],), ([],), (["x ", "", "y"],), (["$a$", "$b$"],)], "l array<string>")
+    assert [r.y for r in rows.select(latex.join_lines(F.col("l")).alias("y")).collect()] == ["example text", "a-- b", "a- B", "", "x y", "$a\\ b$"]
 
 
 def test_file_names(spark):
