@@ -16,7 +16,7 @@ Defined results: a null URL resolves to nothing (``no_response``), as does a rev
 no earlier response; validators that differ give ``mismatch`` and name no record;
 no validator in common gives ``unverified``, with the record; of responses at the same
 time the greater record id counts, and those at the revisit's own time are not earlier;
-null headers count as none, and of headers whose names differ in case only the last; repeated records are resolved each; other columns are ignored.
+null headers count as none, and of headers whose names differ in case only the last in order of code points; repeated records are resolved each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,15 +56,14 @@ def canonical(url: Column, tracking=TRACKING) -> Column:
 
 
 def lowered(headers: Column) -> Column:
-    """Headers by lower-cased name; of names that differ in case only the last one counts."""
-    entries = F.transform(
+    """Headers by lower-cased name; of names that differ in case only, the last in order of
+    code points counts, as a map has no order of its own."""
+    entries = F.array_sort(F.transform(
         F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))),
-        lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")),
-    )
-    last = F.filter(
-        entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
-    )
-    return F.map_from_entries(last)
+        lambda e: F.struct(F.lower(e["key"]).alias("key"), e["key"].alias("name"), e["value"].alias("value")),
+    ))
+    last = F.filter(entries, lambda e, i: ~F.get(entries, i + 1)["key"].eqNullSafe(e["key"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
 
 
 def resolve(records: DataFrame, permitted=PERMITTED, tracking=TRACKING) -> DataFrame:
