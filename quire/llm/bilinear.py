@@ -42,7 +42,7 @@ ORDER = 4
 DIM = 16
 NOISE = 32
 BATCH = 1024
-RATE = 0.1
+RATE = 0.3
 DICTIONARY = 1 << 18
 #: Distinct words that a task counts before it sends them on.
 HELD = 1 << 20

@@ -155,6 +155,8 @@ def train(docs: DataFrame, text_col="text", lang_col="lang") -> tuple[list[str],
         .agg(F.sum("n").alias("n"))
         .groupBy("lang")
         .agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))
+        # packed, as two arrays of numbers per language
+        .select("lang", F.col("cells.bucket").alias("bucket"), F.col("cells.n").alias("n"))
         .limit(MAX_LANGUAGES + 1)
         .toPandas()
         .sort_values("lang", key=lambda s: s.map(lambda x: x.encode("utf-8", "surrogatepass")))
@@ -163,9 +165,8 @@ def train(docs: DataFrame, text_col="text", lang_col="lang") -> tuple[list[str],
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     names = sums["lang"].tolist()
     table = np.zeros((len(names), BUCKETS + 1))
-    for i, cells in enumerate(sums["cells"]):
-        for cell in cells:
-            table[i, cell["bucket"]] = cell["n"]
+    for i, (bucket, n) in enumerate(zip(sums["bucket"], sums["n"], strict=True)):
+        table[i, bucket] = n
     if not names:
         return names, table
     seen, docs_of = table[:, :BUCKETS], table[:, BUCKETS:]
