@@ -15,6 +15,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
@@ -127,9 +128,17 @@ def page_rules(decoded: DataFrame) -> DataFrame:
     return rows.select("doc_key", "page_idx", F.col("pos").cast("long").alias("pos"), "r.*")
 
 
-def atomic_write(path: Path | str, content: str) -> None:
-    """Write UTF-8 as it is, to a local path or a store's; readers see the old file or the new."""
-    store, target = fs.FileSystem.from_uri(path if "://" in str(path) else str(Path(path).absolute()))
+def open_store(place: str):
+    """The file system and path of a local path or a URI, which may hold blanks."""
+    return fs.FileSystem.from_uri(quote(place, safe="/:@%") if "://" in place else str(Path(place).absolute()))
+
+
+def atomic_write(path: Path | str, content: str, store=None) -> None:
+    """Write UTF-8 as it is, to a local path, a URI or a path of ``store``; readers see the old
+    file or the new one."""
+    target = str(path)
+    if store is None:
+        store, target = open_store(target)
     folder = target.rpartition("/")[0]
     store.create_dir(folder, recursive=True)
     fresh = f"{folder}/.writing-{uuid.uuid4().hex}"
@@ -211,12 +220,12 @@ class Publisher:
         return len(names)
 
 
-def write_catalog(rows: DataFrame, path: Path, order: tuple[str, ...] = ("source_file", "section_file")) -> None:
+def write_catalog(rows: DataFrame, path: Path | str, order: tuple[str, ...] = ("source_file", "section_file")) -> None:
     """The catalog as a tab-separated table with a header, in order."""
     lines = ["\t".join(CATALOG)]
     for row in rows.orderBy(*order).toLocalIterator():
         lines.append("\t".join(str(row[c]).replace("\t", " ").replace("\n", " ") for c in CATALOG))
-    atomic_write(Path(path), "\n".join(lines) + "\n")
+    atomic_write(path, "\n".join(lines) + "\n")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
