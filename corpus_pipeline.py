@@ -1,7 +1,8 @@
 """Corpus preparation: five stages over ``documents``, from raw rows to token shards.
 
-1. language_id: documents of no recognisable language go, as do those whose
-   language is less sure than ``MIN_SCORE``.
+1. language_id: documents without a letter go, as do those whose language is less sure than
+   ``MIN_SCORE``. A posterior is near 1 for all but very short texts, so in practice only the
+   former go: text in a language that was never learned stays, as one of the learned ones.
 2. near_duplicates: of every group linked by five-word shingles at a similarity of
    0.8 or more, the document with the smallest id stays. Rows that share an id are one
    document only if their texts are equal as well; of near copies with one id, one stays.
@@ -12,7 +13,7 @@
    the index of the shards comes back.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-kept. Rows whose id is null pass stages 2 and 3, which work by id.
+kept. Rows whose id is null pass stages 2 and 3, whose decisions name ids.
 """
 
 from __future__ import annotations
