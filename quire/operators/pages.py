@@ -159,3 +159,31 @@ def gates(pages: DataFrame) -> DataFrame:
         .when(F.col("characters") < MIN_BODY, "too little text")
         .otherwise("accepted").alias("status"),
     )
+
+
+def outline_chapters(toc: DataFrame) -> DataFrame:
+    """doc_key, number, title, page: the numbered entries of an outline's first level."""
+    clean = F.btrim(F.replace(F.col("title"), F.lit("\n"), F.lit(" ")))
+    pattern = r"^([0-9]+)\s+(.*)$"
+    return toc.where("level = 1").select("doc_key", "pos", clean.alias("t"), "page").where(F.col("t").rlike(pattern)).select(
+        "doc_key", "pos", F.regexp_extract("t", pattern, 1).cast("int").alias("number"),
+        F.btrim(F.regexp_extract("t", pattern, 2)).alias("title"), "page",
+    )
+
+
+def titled_page(toc: DataFrame, title: str) -> DataFrame:
+    """doc_key, page: where the first entry with just this title is."""
+    clean = F.btrim(F.replace(F.col("title"), F.lit("\n"), F.lit(" ")))
+    return toc.where(clean == title).groupBy("doc_key").agg(F.min_by("page", "pos").alias("page"))
+
+
+def chapter_ranges(toc: DataFrame, counts: DataFrame, stop: str) -> DataFrame:
+    """doc_key, number, title, first, last: the pages of each chapter. The last one goes up to the
+    entry ``stop``, or to the end. ``counts``: doc_key, n_pages."""
+    order = Window.partitionBy("doc_key").orderBy("pos")
+    tail = counts.join(titled_page(toc, stop).withColumnRenamed("page", "stop"), "doc_key", "left")
+    rows = outline_chapters(toc).withColumn("next", F.lead("page").over(order)).join(tail, "doc_key")
+    return rows.select(
+        "doc_key", "number", "title", F.col("page").alias("first"),
+        F.coalesce(F.col("next") - 1, F.col("stop") - 1, F.col("n_pages")).alias("last"),
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import latex, naming, symbols, titles
-from quire.operators import checks, conversion, fonts, headings, layout, pages, state
+from quire.operators import checks, conversion, fonts, headings, jobs, layout, pages, state
 from quire.sources import files
 
 
@@ -957,6 +957,61 @@ def jobs_newest(spark, d):
     return state.newest_jobs(state.recover_jobs(jobs)).select("job_id", "status")
 
 
+def manifests(spark, d) -> DataFrame:
+    """A job per event, kept as JSON; some are damaged, some lie in a folder of another name."""
+    key = F.col("event_id").cast("string")
+    text = F.concat(
+        F.lit('{"job_id": "'), key, F.lit('", "status": "'), F.when(F.col("event_type") == "view", "discarding").when(F.col("event_type") == "click", "queued").otherwise("completed"),
+        F.lit('", "options": {"mode": "auto"}, "created_at": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('", "logs": ["a"]}'),
+    )
+    broken = F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(text)
+    return table(spark, d, "events").select(F.when(F.col("event_id") % 10 == 1, F.lit("other")).otherwise(key).alias("folder"), broken.alias("text"), "ts")
+
+
+@query(
+    "SELECT CAST(event_id AS VARCHAR) AS job_id, CASE event_type WHEN 'click' THEN 'interrupted' ELSE 'completed' END AS status, "
+    "CAST(CASE event_type WHEN 'click' THEN 2 ELSE 1 END AS INTEGER) AS logs FROM events WHERE event_type <> 'view' AND event_id % 10 > 1"
+)
+def jobs_loaded(spark, d):
+    return jobs.loaded(manifests(spark, d)).select("job_id", "status", F.size("logs").alias("logs"))
+
+
+@query(
+    "SELECT CAST(event_id AS VARCHAR) AS job_id FROM events, (SELECT max(ts) AS now FROM events) "
+    "WHERE event_type <> 'view' AND event_id % 10 > 1 AND epoch(now) - floor(epoch(ts)) > 86400"
+)
+def jobs_expired(spark, d):
+    now = table(spark, d, "events").agg(F.max("ts")).first()[0]
+    return jobs.expired(jobs.loaded(manifests(spark, d)), F.lit(now), 86400)
+
+
+@query(
+    "SELECT 'doc_' || doc_id || '.tex' AS filename, coalesce(CASE WHEN quality = 1 THEN 'Title ' || doc_id END, 'doc_' || doc_id) AS chapter_title, "
+    "CAST(length(coalesce(text, '')) AS BIGINT) AS size_bytes, CASE WHEN quality IS NULL THEN 'traditional' ELSE 'pdf2tex' END AS converter "
+    "FROM documents LEFT JOIN labels USING (doc_id)"
+)
+def output_listing(spark, d):
+    listed = outputs_of(spark, d).join(prose(spark, d).select("doc_key", F.length("text").cast("long").alias("size")), "doc_key")
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("doc_key"), "quality")
+    catalog = listed.join(labels, "doc_key").select(
+        "file", F.when(F.col("quality") == 1, F.concat(F.lit("Title "), F.col("doc_key").cast("string"))).otherwise("").alias("title"),
+        F.lit("pdf2tex").alias("converter"),
+    )
+    return jobs.output_files(listed, catalog).drop("sha256")
+
+
+@query(
+    f"WITH {PAGES_SQL}, c AS (SELECT conv_id AS doc_key, row_number() OVER w AS number, turn + 1 AS first, lead(turn) OVER w AS last, "
+    "max(turn + 1) OVER (PARTITION BY conv_id) AS stop FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), "
+    "n AS (SELECT conv_id AS doc_key, count(*) AS n_pages FROM conversations GROUP BY conv_id) "
+    "SELECT doc_key, CAST(number AS INTEGER) AS number, 'Chapter ' || number AS title, first, coalesce(last, n_pages) AS last FROM c JOIN n USING (doc_key)"
+)
+def chapter_ranges(spark, d):
+    toc = outline(spark, d).withColumn("title", F.concat(F.col("pos").cast("string"), F.lit("  "), "title"))
+    counts = paged(spark, d).groupBy("doc_key").agg(F.count("*").alias("n_pages"))
+    return pages.chapter_ranges(toc, counts, "Answers")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -140,3 +140,37 @@ def test_names_and_matching(spark):
     recorded = spark.createDataFrame([("d", True, "one"), ("e", True, "two"), ("n", True, "one")], "doc_key string, split boolean, split_settings string")
     got = state.publication_matches(outputs, outputs, recorded, F.lit("one")).collect()
     assert {r.doc_key: r.matches for r in got} == {"d": True, "e": False, "n": False}
+
+
+def test_jobs(spark, tmp_path):
+    from quire.operators import jobs
+
+    blank = {"progress": 0.0, "message": "m", "files_count": 1, "source_files": [], "chapters_count": 0, "logs": [], "outputs": [],
+             "options": {}, "completed_at": None, "error": None}
+    row = lambda k, status, at="2024-01-01T00:00:00": {"job_id": k, "status": status, "created_at": at} | blank
+    table = spark.createDataFrame([row("q", "queued"), row("c", "converting"), row("f", "failed"), row("d", "completed", "never")], jobs.JOB)
+    ids = lambda *ks: spark.createDataFrame([(k,) for k in ks], "job_id string")
+    status = lambda df: {r.job_id: r.status for r in df.collect()}
+    again = jobs.loaded(jobs.saved(table).withColumnRenamed("job_id", "folder"))
+    assert status(again) == {"q": "interrupted", "c": "interrupted", "f": "failed", "d": "completed"}
+    assert status(jobs.resumed(table, ids("f", "d", "none"))) == status(table) | {"f": "queued"}
+    assert status(jobs.started(table, ids("q", "f"))) == status(table) | {"q": "converting"}
+    assert status(jobs.discarded(table, ids("c", "f"))) == {"q": "queued", "c": "discarding", "d": "completed"}
+    assert {r.job_id for r in jobs.expired(table, F.lit("2024-01-01 03:00:00").cast("timestamp")).collect()} == {"q", "c", "f"}
+    out_ = [("a.tex", "A", 1, "s", "traditional")]
+    results = spark.createDataFrame([("c", out_, "t", None), ("q", out_, "t", None)], f"job_id string, outputs array<{jobs.OUTPUT}>, at string, failure string")
+    done = {r.job_id: r for r in jobs.finished(table, results).collect()}
+    assert done["c"].status == "completed" and done["c"].chapters_count == 1 and done["c"].message.startswith("Converted successfully: 1")
+    assert done["q"].status == "queued"
+    failed = jobs.finished(table, results.withColumn("failure", F.lit("boom"))).where("job_id = 'c'").first()
+    assert (failed.status, failed.error, failed.message) == ("failed", "boom", "Conversion failed: boom")
+    lines = spark.range(1).select(jobs.log_lines(F.lit(" a \n\n b\r\nc")).alias("l")).first().l
+    assert lines == ["a", "b", "c"]
+    assert jobs.accepted_uploads(spark.createDataFrame([("x/a.PDF",), ("b.txt",), ("",)], "name string")).count() == 1
+    (tmp_path / "a.tex").write_text("text")
+    assert jobs.output_content(str(tmp_path), "a.tex") == "text" and jobs.output_content(str(tmp_path), "b.tex") is None
+    try:
+        jobs.output_content(str(tmp_path), "../x")
+        raise AssertionError("a path outside was read")
+    except PermissionError:
+        pass
