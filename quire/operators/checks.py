@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -164,6 +165,21 @@ def diagnose(sources: DataFrame) -> DataFrame:
     )
 
 
+def character_blocks(glyphs: DataFrame) -> DataFrame:
+    """block, n, distinct: how many characters there are of each block, which is the first word
+    of a character's name; each distinct character is looked up once."""
+
+    def name(batches):
+        for batch in batches:
+            blocks = [unicodedata.name(c, "UNNAMED").split()[0] for c in batch["text"].tolist()]
+            yield pd.DataFrame({"n": batch["n"], "block": blocks})
+
+    single = glyphs.where(F.length("text") == 1).groupBy("text").agg(F.count("*").alias("n"))
+    return single.mapInPandas(name, "n long, block string").groupBy("block").agg(
+        F.sum("n").alias("n"), F.count("*").alias("distinct")
+    )
+
+
 #: Parts of the names of fonts that carry mathematics.
 MATH_FONT_HINTS = ("MT", "Math", "Cambria", "CM", "wasy", "MSAM", "MSBM", "Symbol", "Optr", "Allphf", "Pearson")
 

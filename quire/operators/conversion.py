@@ -21,7 +21,7 @@ ENTRY = (
     "doc_key {key}, route string, fingerprint map<string,string>, extracted boolean, split boolean, "
     f"split_settings map<string,string>, method string, outputs {OUTPUT}, pending {OUTPUT}, error string"
 )
-VERSIONS = {"traditional": "3", "pdf2tex": "1"}
+VERSIONS = {"traditional": "3", "pdf2tex": "2"}
 SPLITTER_VERSION = "1"
 
 

@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import symbols
+from quire.functions.formulas import MATH_FONTS
+
 PAGE = ("doc_key", "page_idx")
 TOP, BOTTOM, BAND_GAP = 56.0, 700.0, 0.6
 SECTION, SUBSECTION, BOX_TITLE = 16.0, 13.0, 10.4
@@ -22,7 +25,6 @@ BLANKS = " \u00a0\t\r\n"
 #: Ligatures and the letters they stand for.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st"}
 MATH_FONT = r"^(CMMI|CMSY|CMEX|MSAM|MSBM)[0-9]+$"
-TALL = r"(big|Big|bigg|Bigg|tp|bt|ex|mid)$"
 
 
 def strip_furniture(items: DataFrame, y: str = "oy") -> DataFrame:
@@ -38,10 +40,18 @@ def base_font(font: Column) -> Column:
     return F.substring_index(font, "+", -1)
 
 
-def is_math_font(font: Column, names: Sequence[str] = ()) -> Column:
+def is_math_font(font: Column, names: Sequence[str] = tuple(sorted(MATH_FONTS))) -> Column:
     return base_font(font).rlike(MATH_FONT) | base_font(font).isin(*names)
 
 
+def is_tall() -> Column:
+    """A glyph that spans rows: a big operator, a radical, or a tall delimiter or piece of one."""
+    name = F.col("name")
+    whole = [*symbols.BIG_OPERATORS, *symbols.RADICALS, *symbols.EXTENSIONS]
+    ends = name.rlike("(?:" + "|".join(symbols.TALL_ENDINGS) + ")$")
+    return F.coalesce(name.isin(*whole) | (name.isin(*symbols.OPENERS, *symbols.CLOSERS) & ends), F.lit(False))
+
+
 def fraction_rules(rules: DataFrame) -> DataFrame:
     """Thin horizontal rules shorter than a column."""
     width, height = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import latex, naming, symbols, titles
-from quire.operators import checks, conversion, fonts, headings, jobs, layout, pages, state
+from quire.operators import checks, conversion, fonts, headings, jobs, layout, pages, recognition, state
 from quire.sources import files
 
 
@@ -1012,6 +1012,42 @@ def chapter_ranges(spark, d):
     return pages.chapter_ranges(toc, counts, "Answers")
 
 
+@query(
+    f"WITH {SYMBOLIC_SQL} SELECT doc_key, page_idx, pos FROM named WHERE name IN ({', '.join(repr(n) for n in NAMES if symbols.is_tall(n))})"
+)
+def tall_glyphs(spark, d):
+    return symbolic(spark, d).where(layout.is_tall()).select("doc_key", "page_idx", "pos")
+
+
+@query(
+    f"WITH {SYMBOLIC_SQL} SELECT CASE text WHEN '−' THEN 'MINUS' WHEN 'λ' THEN 'GREEK' ELSE 'DOLLAR' END AS block, count(*) AS n, "
+    "count(DISTINCT text) AS \"distinct\" FROM named GROUP BY ALL"
+)
+def character_blocks(spark, d):
+    return checks.character_blocks(symbolic(spark, d))
+
+
+@query(
+    "WITH r AS (SELECT conv_id AS doc_key, turn, CASE turn % 3 WHEN 0 THEN '\\(' || coalesce(text, '') || '\\)' "
+    "WHEN 1 THEN '\\[' || chr(10) || coalesce(text, '') || chr(10) || '\\]' ELSE " + ESCAPE_SQL.replace("X", "coalesce(text, '')") + " END AS part FROM conversations), "
+    "l AS (SELECT doc_key, turn // 2 AS line, string_agg(part, ' ' ORDER BY turn) AS t FROM r GROUP BY ALL) "
+    "SELECT doc_key, sha256(string_agg(t, chr(10) ORDER BY line)) AS sha256 FROM l GROUP BY doc_key"
+)
+def recognised_pages(spark, d):
+    rows = paged(spark, d).select(
+        "doc_key", F.lit(0).alias("page_idx"), F.col("page_idx").alias("pos"), "text", F.expr("page_idx div 2").alias("line_number"),
+        F.when(F.col("page_idx") % 3 == 0, "embedding").when(F.col("page_idx") % 3 == 1, "isolated").alias("type"),
+    )
+    return recognition.recognised_pages(rows).select("doc_key", F.sha2("text", 256).alias("sha256"))
+
+
+@query(
+    r"SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g')) >= 40 THEN 'embedded' ELSE 'vision' END AS method FROM documents"
+)
+def page_methods(spark, d):
+    return prose(spark, d).select(F.col("doc_key").alias("doc_id"), recognition.page_method(F.col("text")).alias("method"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
