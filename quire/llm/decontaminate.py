@@ -1,16 +1,17 @@
 """Benchmark decontamination: SimHash windows, multi-index Hamming search, exact check.
 
-For every benchmark item of L words, all windows of L words of a document are
-fingerprinted: a window's fingerprint is the 64-bit SimHash of its five-word
-shingles, weighted by their counts, from running sums of the shingles' bit signs. The
-items' fingerprints stand in a multi-index of ``BLOCKS`` blocks of bits: two fingerprints
-within ``RADIUS`` bits agree to within RADIUS // BLOCKS bits in at least one block, so
-looking up each block's neighbourhood finds every fingerprint within the radius; of
-unrelated windows one in 25 is found. Candidates are then held against the item by the
-exact weighted Jaccard similarity of the shingle counts, with shingles compared as words,
-not hashes. A window within the radius is never missed; a window that is more
-similar than ``SIMILARITY`` lies outside the radius in a few cases in a hundred when it
-is barely so (README), and less the more similar it is.
+For every benchmark item of L words, all windows of a document of L words, or of up to 6 %
+less where items of nearly one length share their windows, are fingerprinted: a window's
+fingerprint is the 64-bit SimHash of its five-word shingles, weighted by their counts, from
+running sums of the shingles' bits. The items' fingerprints stand in a multi-index of
+``BLOCKS`` blocks of bits: two fingerprints within ``RADIUS`` bits agree to within
+RADIUS // BLOCKS bits in at least one block, so looking up each block's neighbourhood finds
+every fingerprint within the radius; of unrelated windows one in 25 is found. Candidates are
+then held against the item by the exact weighted Jaccard similarity of the shingle counts,
+with shingles compared as words, not hashes, over windows of the item's own length. A window
+within the radius is never missed; a window that is more similar than ``SIMILARITY`` lies
+outside the radius in a few cases in a thousand when it is
+barely so (README), and less the more similar it is.
 
 Words are lower-cased (A-Z) and parted at blanks and ASCII punctuation, so that passages
 match whatever punctuation stands around them.
@@ -44,6 +45,10 @@ RADIUS = 15
 BLOCK_BYTES = 32 << 20
 #: Words worked on at once.
 RUN = 1 << 13
+#: Share by which a window may be shorter than an item that is looked for in it.
+SHORTER = 0.06
+#: Fingerprints that share tables of the index, a bit each of this kind.
+MATCH, GROUP = np.uint8, 8
 #: Items whose shingle counts a task keeps.
 KEPT = 1 << 12
 
@@ -77,28 +82,30 @@ def lanes(hashes: np.ndarray, longest: int) -> np.ndarray:
     return bits.astype(kind, copy=False).view(np.uint64).reshape(len(hashes), -1)
 
 
-def fingerprint(sums: np.ndarray, shingles: int) -> np.ndarray:
-    """The 64-bit SimHash of each row of lanes: bits that more than half of the shingles have."""
-    counts = np.ascontiguousarray(sums).view(f"u{sums.shape[1] // 8}")
-    return np.packbits((counts > shingles // 2).ravel()).view("<u8").astype(np.uint64, copy=False)
+def fingerprint(sums: np.ndarray, shingles: int, bits: np.ndarray | None = None) -> np.ndarray:
+    """The 64-bit SimHash of each row of lanes: bits that more than half of the shingles have.
+    ``bits``: room for 64 of them per row."""
+    counts = sums.view(f"u{sums.shape[1] // 8}")
+    bits = np.greater(counts, counts.dtype.type(shingles // 2), out=bits)
+    return np.packbits(bits.ravel()).view("<u8").astype(np.uint64, copy=False)
 
 
 class HammingIndex:
     """Fingerprints by blocks of 16 bits; finds all within ``radius`` of a query.
 
-    For every group of eight fingerprints and block there is a table of all keys: which of
-    the eight lie within radius // BLOCKS bits of the key."""
+    For every group of ``GROUP`` fingerprints and block there is a table of all keys: which of
+    them lie within radius // BLOCKS bits of the key."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
         self.prints, self.radius = prints, radius
         whole = np.arange(1 << 16)
         near = np.bitwise_count(whole) <= radius // BLOCKS
         self.groups = []
-        for a in range(0, len(prints), 8):
-            tables = np.zeros((BLOCKS, 1 << 16), np.uint8)
-            for i, own in enumerate(self.keys(prints[a : a + 8]).T):
+        for a in range(0, len(prints), GROUP):
+            tables = np.zeros((BLOCKS, 1 << 16), MATCH)
+            for i, own in enumerate(self.keys(prints[a : a + GROUP]).T):
                 for b in range(BLOCKS):
-                    tables[b] |= near[whole ^ own[b]].astype(np.uint8) << np.uint8(i)
+                    tables[b] |= near[whole ^ own[b]].astype(MATCH) << MATCH(i)
             self.groups.append((a, tables))
 
     @staticmethod
@@ -113,11 +120,13 @@ class HammingIndex:
             for b in range(1, BLOCKS):
                 match |= tables[b].take(keys[b])
             at = np.flatnonzero(match)
-            match, prints = match[at], queries[at]
-            for i, own in enumerate(self.prints[a : a + 8]):
-                near = (np.bitwise_count(prints ^ own) <= self.radius) & ((match >> np.uint8(i)) & 1).astype(bool)
-                if near.any():
-                    found.append(at[near] * len(self.prints) + (a + i))
+            own = self.prints[a : a + GROUP]
+            near = np.flatnonzero(np.bitwise_count(queries[at] ^ own[:, None]) <= self.radius)
+            if len(near):
+                i, q = near // len(at), at[near % len(at)]
+                # of these, the pairs that a block has led to
+                led = (match[q] >> i.astype(match.dtype)) & 1 == 1
+                found.append(q[led] * len(self.prints) + (a + i[led]))
         both = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
         q, i = both // len(self.prints), both % len(self.prints)
         return q, i, np.bitwise_count(queries[q] ^ self.prints[i]).astype(np.int64)
@@ -137,13 +146,18 @@ class Benchmark:
         for item, text in rows:
             if ws := tokens(text):
                 self.by_length.setdefault(len(ws), []).append((item, ws))
-        self.index = {
-            n: HammingIndex(np.concatenate([self.print_of(ws) for _, ws in items]), radius)
-            for n, items in self.by_length.items()
-        }
+        #: by the length of their windows: items as (length, number among those), and their index
+        self.shared: dict[int, tuple[list[tuple[int, int]], HammingIndex]] = {}
+        left = sorted(self.by_length)
+        while left:
+            own = [n for n in left if n <= left[0] / (1 - SHORTER)]
+            left = left[len(own):]
+            items = [(n, i) for n in own for i in range(len(self.by_length[n]))]
+            prints = np.concatenate([self.print_of(self.by_length[n][i][1]) for n, i in items])
+            self.shared[own[0]] = items, HammingIndex(prints, radius)
         self.counts: dict[tuple[int, int], Counter] = {}
-        #: lengths by the width of their shingles
-        self.lengths = {w: sorted(n for n in self.by_length if min(n, WIDTH) == w) for w in range(1, WIDTH + 1)}
+        #: lengths of windows by the width of their shingles
+        self.lengths = {w: sorted(n for n in self.shared if min(n, WIDTH) == w) for w in range(1, WIDTH + 1)}
         self.longest = max(self.by_length, default=0)
 
     @staticmethod
@@ -197,12 +211,16 @@ class Benchmark:
     def whole(self, row, text, hashes, best) -> None:
         """A text of fewer words than some items, as one window."""
         least = self.similarity * 0.999
-        for n, index in self.index.items():
+        for n, (items, index) in self.shared.items():
             width = min(n, WIDTH)
-            if width <= len(hashes) < n and len(hashes) - width + 1 >= least * (n - width + 1):
-                own = self.print_of_hashes(common.shingle_hashes(hashes, width))
-                for _, i, far in zip(*(x.tolist() for x in index.pairs(own)), strict=True):
-                    self.take(row, tokens(text), n, i, 0, far, best)
+            if width > len(hashes) or items[-1][0] <= len(hashes):
+                continue
+            if len(hashes) - width + 1 < least * (n - width + 1):
+                continue
+            own = self.print_of_hashes(common.shingle_hashes(hashes, width))
+            for _, k, far in zip(*(x.tolist() for x in index.pairs(own)), strict=True):
+                if items[k][0] > len(hashes):
+                    self.take(row, tokens(text), *items[k], 0, far, best)
 
     def windows(self, run, texts, kept, best) -> None:
         """All windows of some pieces of texts: (text, its first word, hashes)."""
@@ -216,17 +234,24 @@ class Benchmark:
             own = lanes(common.shingle_hashes(hashes, width), lengths[-1])
             sums = np.zeros((len(own) + 1, own.shape[1]), np.uint64)
             np.cumsum(own, axis=0, out=sums[1:])
+            # room that all lengths use in turn, as fresh memory costs more than the sums
+            held, bits = np.empty_like(own), np.empty((len(own), 64), bool)
             for n in lengths:
                 span, last = n - width + 1, len(hashes) - n + 1
-                prints = fingerprint(sums[span : span + last] - sums[:last], span)
-                for q, i, far in zip(*(x.tolist() for x in self.index[n].pairs(prints)), strict=True):
+                np.subtract(sums[span : span + last], sums[:last], out=held[:last])
+                prints = fingerprint(held[:last], span, bits[:last])
+                items, index = self.shared[n]
+                for q, i, far in zip(*(x.tolist() for x in index.pairs(prints)), strict=True):
                     k = int(np.searchsorted(ends, q, "right"))
+                    size, more = items[i][0], items[i][0] - n
                     if q + n > ends[k]:
                         continue  # it reaches into the next text
-                    row, at = run[k][0], run[k][1] + q - int(ends[k] - sizes[k])
+                    row, first = run[k][0], run[k][1] + q - int(ends[k] - sizes[k])
                     if row not in kept:
                         kept[row] = tokens(texts[row])
-                    self.take(row, kept[row], n, i, at, far, best)
+                    # the item's own windows around it
+                    for at in range(max(0, first - more), min(first, len(kept[row]) - size) + 1):
+                        self.take(row, kept[row], *items[i], at, far, best)
 
 
 def find_leaks(
