@@ -51,8 +51,8 @@ PERCENT = 85
 TURNS = 2
 #: Members of a bucket that a full buffer lets go.
 LARGE = 64
-BUFFER = 1 << 19
-PART = 1 << 20
+BUFFER = 1 << 18
+PART = 1 << 19
 #: Parts that are partitions of their own; more share one and come in order.
 MAX_PARTS = 20_000
 SEEN = 1 << 20
@@ -123,13 +123,19 @@ def digests(docs: DataFrame, width: int) -> DataFrame:
 
     def measure(batches):
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch["text"].to_pylist()]
+            n, node, sketches = [], [], []
+            for text in batch["text"]:  # one text at a time in memory
+                s = shingle_set(text.as_py(), width)
+                n.append(len(s))
+                node.append(node_of(s) if len(s) else None)
+                sketches.append(pa.array(sketch(s)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["doc_id"], batch["row"],
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([node_of(x) if len(x) else None for x in sets], pa.int64()),
-                    pa.array([sketch(x) for x in sets], pa.list_(pa.int64())),
+                    batch["doc_id"], batch["row"], pa.array(n, pa.int64()), pa.array(node, pa.int64()),
+                    pa.ListArray.from_arrays(
+                        np.concatenate([[0], np.cumsum([len(x) for x in sketches])]).astype(np.int32),
+                        pa.concat_arrays(sketches) if sketches else pa.array([], pa.int64()),
+                    ),
                 ],
                 ["doc_id", "row", "n", "node", "sketch"],
             )
@@ -151,20 +157,21 @@ def signature_blocks(docs: DataFrame, width: int, percent: int, parts: int) -> D
         cuts = np.flatnonzero(np.diff(part)) + 1
         ends = np.append(cuts, len(part))
         starts = np.append(0, cuts)
-        return pd.DataFrame(
-            {
-                "part": part[starts],
-                "keys": [keys[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
-                "nodes": [nodes[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
-            }
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(part[starts]),
+                pa.array([keys[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                pa.array([nodes[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+            ],
+            ["part", "keys", "nodes"],
         )
 
     def sign(batches):
         seen: set[int] = set()
         keys, nodes, held = [], [], 0
         for batch in batches:
-            for text in batch["text"].tolist():
-                s = shingle_set(text, width)
+            for text in batch["text"]:
+                s = shingle_set(text.as_py(), width)
                 node = node_of(s) if len(s) else 0
                 if not len(s) or node in seen:
                     continue
@@ -182,7 +189,7 @@ def signature_blocks(docs: DataFrame, width: int, percent: int, parts: int) -> D
         if held:
             yield pack(keys, nodes)
 
-    return docs.select("text").mapInPandas(sign, "part int, keys binary, nodes binary")
+    return docs.select("text").mapInArrow(sign, "part int, keys binary, nodes binary")
 
 
 STAR, MEMBER = 0, 1
@@ -489,8 +496,10 @@ def row_components(
         F.max("n").alias("n"), F.first("sketch").alias("sketch"),
     ).select("node", F.col("least.id").alias("id"), F.col("least.row").alias("row"), "n", "sketch")
     names = scope.stage(names, "join-names")
-    total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(8, math.ceil(total * partenum.PER_ELEMENT / PART))
+    # a row per quarter of a doubling of the sets' sizes
+    sizes = names.groupBy(F.floor(F.log2("n") * 4).alias("level")).agg(F.max("n").alias("n"), F.count("*").alias("sets"))
+    total = sum(r["sets"] * partenum.expected(r["n"], percent) for r in sizes.collect())
+    parts = max(8, math.ceil(total / PART))
     found = scope.stage(candidates(signature_blocks(docs, width, percent, parts), parts), "join-found")
     tested = scope.stage(found.where(f"kind = {STAR}").select("a", "b").distinct(), "join-tested")
     members = scope.stage(

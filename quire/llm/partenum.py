@@ -31,9 +31,7 @@ LEVELS = 4
 #: Words of a passage that unrelated documents may share, for the cost.
 PASSAGE = 50
 #: Weight of a collision against a signature.
-COLLIDE = 10_000.0
-#: Signatures per element, roughly, for the number of parts.
-PER_ELEMENT = 0.6
+COLLIDE = 500.0
 
 
 @dataclass(frozen=True)
@@ -123,6 +121,12 @@ def schemes_of(size: int, percent: int, collide: float = COLLIDE) -> list[Scheme
         number += 1
 
 
+def expected(size: int, percent: int, collide: float = COLLIDE) -> float:
+    """About how many signatures a set of this size has."""
+    found = schemes_of(size, percent, collide)
+    return sum(s.segments + size * s.deletions / s.segments for s in found)
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TAG = np.uint64(0xD6E8FEB86659FD93)
 
