@@ -51,6 +51,14 @@ class Scope:
         self.paths[id(back)] = back, path
         return back
 
+    def leave(self, df: DataFrame, name: str) -> DataFrame:
+        """Stage a result and delete everything else that this scope holds."""
+        result = self.stage(df, name)
+        for other, _ in list(self.paths.values()):
+            if other is not result:
+                self.drop(other)
+        return result
+
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table that this scope staged; other tables are left alone."""
         back, path = self.paths.pop(id(df), (None, None))

@@ -557,12 +557,14 @@ def row_components(
     out = rows.where("n > 0").join(known, "node").select(
         "doc_id", "row", F.col("n").alias("n_shingles"), "component_id", "component_row"
     )
-    return out.unionByName(
+    out = out.unionByName(
         rows.where("n = 0").select(
             "doc_id", "row", F.col("n").alias("n_shingles"),
             F.col("doc_id").alias("component_id"), F.col("row").alias("component_row"),
         )
     )
+    # the result is small; with it staged, all that it was made of can go
+    return scope.leave(out, "join-components")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
