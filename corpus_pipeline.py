@@ -45,9 +45,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = common.stage(
-        jaccard_join.row_components(docs, WIDTH, PERCENT).where("doc_id IS NOT NULL"), "pipeline-groups"
-    )
+    groups = jaccard_join.row_components(docs, WIDTH, PERCENT).where("doc_id IS NOT NULL")
     gone = groups.where("component_id != doc_id OR component_row != row").select(
         F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")
     ).distinct()
