@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
@@ -81,6 +83,40 @@ class Shared:
         return pickle.loads(self.held.value)
 
 
+#: Rows of a batch handled at once, so that what is made of their texts stays small.
+ROWS = 1024
+
+
+def slices(batches):
+    """Arrow batches in runs of at most ``ROWS`` rows; the rows themselves are not copied."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
+def release() -> None:
+    """Give freed memory back to the system. A function that came by value, with its tables, is
+    freed by a collection only; the allocators keep what is free until they are asked."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return  # a C library that has none
+    trim(0)
+
+
+def lean(function):
+    """``function`` over a task's batches, after which the worker, which is kept for other tasks
+    and counts beside them, holds no more than it needs."""
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return run
+
+
 def map_ids(df: DataFrame, function, schema: str) -> DataFrame:
     """``function`` over Arrow batches, where ids need not become Python or numpy numbers.
 
@@ -96,7 +132,7 @@ def map_ids(df: DataFrame, function, schema: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([ids, *rest], names=kinds.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def key_text(column: str) -> Column:

@@ -298,7 +298,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str):
 def searcher(held, radius, similarity):
     def search(batches):
         bench = Benchmark(held.value, radius, similarity)
-        for batch in batches:
+        for batch in common.slices(batches):
             found = [
                 (row, item, *match)
                 for row, own in sorted(bench.search(batch["text"].to_pylist()).items())

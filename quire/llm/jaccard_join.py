@@ -142,7 +142,7 @@ def digests(docs: DataFrame, width: int) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.withColumn("row", row_name()).mapInArrow(
-        measure, f"doc_id {kind}, row long, n long, node long, sketch array<long>"
+        common.lean(measure), f"doc_id {kind}, row long, n long, node long, sketch array<long>"
     )
 
 
@@ -189,7 +189,7 @@ def signature_blocks(docs: DataFrame, width: int, percent: int, parts: int) -> D
         if held:
             yield pack(keys, nodes)
 
-    return docs.select("text").mapInArrow(sign, "part int, keys binary, nodes binary")
+    return docs.select("text").mapInArrow(common.lean(sign), "part int, keys binary, nodes binary")
 
 
 STAR, MEMBER = 0, 1
@@ -275,7 +275,7 @@ def candidates(blocks: DataFrame, parts: int) -> DataFrame:
     else:
         at = F.expr(f"cast(part * {MAX_PARTS}L div {parts} as int)")
         dealt = blocks.repartitionById(MAX_PARTS, at).sortWithinPartitions("part")
-    return dealt.mapInPandas(bucket, "kind byte, a long, b long")
+    return dealt.mapInPandas(common.lean(bucket), "kind byte, a long, b long")
 
 
 def named_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -318,10 +318,10 @@ def verify(pairs: DataFrame, names: DataFrame, texts, width: int, percent: int,
 
     def compare(batches):
         at, pivot = None, None
-        for batch in batches:
+        for batch in common.slices(batches):
             out_a, out_b = [], []
             for a, fan, role, node, text in zip(
-                *(batch[c].tolist() for c in ("a", "fan", "role", "node", "text")), strict=True
+                *(batch[c].to_pylist() for c in ("a", "fan", "role", "node", "text")), strict=True
             ):
                 s = shingle_set(text, width)
                 if not len(s) or node_of(s) != node:
@@ -331,12 +331,12 @@ def verify(pairs: DataFrame, names: DataFrame, texts, width: int, percent: int,
                 elif at == (a, fan) and linked(pivot, s, percent):
                     out_a.append(a)
                     out_b.append(node)
-            yield pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     links = scope.stage(
         sides.repartition("a", "fan")
         .sortWithinPartitions("a", "fan", "role")
-        .mapInPandas(compare, "a long, b long")
+        .mapInArrow(common.lean(compare), "a long, b long")
         .distinct(),
         "join-links",
     )
@@ -430,7 +430,7 @@ def element_counts(texts: DataFrame, width: int) -> np.ndarray:
         yield frame(counts)
 
     kind = "chunk int, at binary, counts binary"
-    summed = texts.mapInPandas(count, kind).repartition("chunk").mapInPandas(add, kind)
+    summed = texts.mapInPandas(common.lean(count), kind).repartition("chunk").mapInPandas(common.lean(add), kind)
     counts = np.zeros(COUNTERS, np.int64)
     for chunk, at, n in summed.collect():  # COUNTERS entries at most
         counts[np.frombuffer(at, np.uint32).astype(np.int64) + chunk] += np.frombuffer(n, np.int64)
@@ -456,7 +456,7 @@ def rare_elements(texts: DataFrame, width: int, percent: int) -> DataFrame:
                 {c: np.concatenate([x[i] for x in out] or [np.zeros(0, np.int64)]) for i, c in enumerate(("key", "x", "place", "n"))}
             )
 
-    return texts.mapInPandas(pick, "key long, x long, place long, n long")
+    return texts.mapInPandas(common.lean(pick), "key long, x long, place long, n long")
 
 
 def meeting_pairs(rows: DataFrame, percent: int) -> DataFrame:

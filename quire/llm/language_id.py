@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,43 +114,46 @@ def train(docs: DataFrame, text_col="text", lang_col="lang") -> tuple[list[str],
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs = batch["lang"].tolist()
-            for run in pieces(batch["text"].tolist()):
+        for batch in common.slices(batches):
+            langs = batch["lang"].to_pylist()
+            for run in pieces(batch["text"].to_pylist()):
                 bucket, owner, _ = grams([t for _, t in run])
                 names = sorted({langs[i] for i, _ in run})
                 code = np.array([names.index(langs[i]) for i, _ in run])
                 sums = np.bincount(code[owner] * BUCKETS + bucket, minlength=len(names) * BUCKETS)
                 for name, s in zip(names, sums.reshape(len(names), BUCKETS), strict=True):
                     total[name] = total.get(name, 0) + s
-            for name, rows in batch["lang"].value_counts().items():
+            for name, rows in Counter(langs).items():
                 held = total.setdefault(name, np.zeros(BUCKETS, np.int64))
                 if len(held) == BUCKETS:
                     held = total[name] = np.append(held, 0)
                 held[BUCKETS] += rows
             for name, v in total.items():
                 where = np.flatnonzero(v)
-                yield pd.DataFrame({"lang": name, "bucket": where, "n": v[where]})
+                yield name, where, v[where]
             total = {}
 
     def add(batches):
         """Sums of a task, so that it sends a row per language and bucket."""
         total: dict[str, np.ndarray] = {}
-        for part in count(batches):
-            if len(part):
-                held = total.setdefault(part["lang"].iloc[0], np.zeros(BUCKETS + 1, np.int64))
-                held[part["bucket"].to_numpy()] += part["n"].to_numpy()
+        for name, bucket, n in count(batches):
+            if len(bucket):
+                held = total.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
+                held[bucket] += n
                 if len(total) > MAX_LANGUAGES:
                     raise ValueError(f"more than {MAX_LANGUAGES} languages")
         for name, v in total.items():
             where = np.flatnonzero(v)
-            yield pd.DataFrame({"lang": name, "bucket": where, "n": v[where]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(where), pa.string()), pa.array(where), pa.array(v[where])],
+                names=["lang", "bucket", "n"],
+            )
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         "text IS NOT NULL AND lang IS NOT NULL"
     )
     sums = (
-        rows.mapInPandas(add, "lang string, bucket long, n long")
+        rows.mapInArrow(common.lean(add), "lang string, bucket long, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
         .groupBy("lang")
@@ -190,7 +193,7 @@ def score(docs: DataFrame, model, id_cols: list[str], text_col="text") -> DataFr
     def predict(batches):
         names, logs = held.value
         order = np.array([*names, UNKNOWN], object)
-        for batch in batches:
+        for batch in common.slices(batches):
             n = batch.num_rows
             sums = np.zeros((n, len(names)))
             found = np.zeros(n, np.int64)
@@ -215,7 +218,7 @@ def score(docs: DataFrame, model, id_cols: list[str], text_col="text") -> DataFr
             )
 
     kinds = ", ".join(f"id{k} {dict(rows.dtypes)[f'id{k}']}" for k in range(n_ids))
-    done = rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
+    done = rows.mapInArrow(common.lean(predict), f"{kinds}, lang_pred string, score double")
     return done.select(*[F.col(f"id{k}").alias(c) for k, c in enumerate(id_cols)], "lang_pred", "score")
 
 

@@ -107,7 +107,7 @@ def _counted(rows: DataFrame, path: str, length: int) -> list:
         from pyspark import TaskContext
 
         tokenizer, docs, sequences, check = Tokenizer(path), 0, 0, 0
-        for batch in batches:
+        for batch in common.slices(batches):
             docs += batch.num_rows
             check = zlib.crc32(repr(batch["doc_id"].to_pylist()).encode(), check)
             for text in batch["text"].to_pylist():
@@ -118,7 +118,7 @@ def _counted(rows: DataFrame, path: str, length: int) -> list:
             names=["part", "docs", "sequences", "sum"],
         )
 
-    return rows.mapInArrow(count, "part int, docs long, sequences long, sum long").collect()
+    return rows.mapInArrow(common.lean(count), "part int, docs long, sequences long, sum long").collect()
 
 
 def materialise(
@@ -153,7 +153,7 @@ def materialise(
 
         want = starts.value.get(TaskContext.get().partitionId(), (0, 0, 0, 0))
         tokens, at, docs_seen, check = Tokenizer(tokenizer), want[0], 0, 0
-        for batch in batches:
+        for batch in common.slices(batches):
             rows_of, numbers, pieces = [], [], []
             docs_seen += batch.num_rows
             check = zlib.crc32(repr(batch["doc_id"].to_pylist()).encode(), check)
@@ -183,7 +183,7 @@ def materialise(
             sink.close()
             store.move(temp, f"{base}/shard-{shard:08d}.bin")
 
-        for batch in batches:
+        for batch in common.slices(batches):
             sums = []
             for s, doc, k, n, data in zip(
                 *(batch[c].to_pylist() for c in ("shard", "doc_id", "sequence", "n_tokens", "tokens")), strict=True
