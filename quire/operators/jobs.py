@@ -109,9 +109,10 @@ def discarded(jobs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def expired(jobs: DataFrame, now: Column, max_age: int = MAX_AGE) -> DataFrame:
-    """job_id of jobs that are older than ``max_age`` seconds; dates that cannot be read never are."""
-    age = F.unix_timestamp(now) - F.unix_timestamp(F.col("created_at").try_cast("timestamp"))
-    return jobs.where(age > max_age).select("job_id")
+    """job_id of jobs that are older than ``max_age`` seconds, fractions counted; dates that cannot
+    be read never are."""
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("created_at").try_cast("timestamp"))
+    return jobs.where(age > max_age * 1_000_000).select("job_id")
 
 
 def output_files(files: DataFrame, catalog: DataFrame) -> DataFrame:

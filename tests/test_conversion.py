@@ -174,3 +174,31 @@ def test_jobs(spark, tmp_path):
         raise AssertionError("a path outside was read")
     except PermissionError:
         pass
+
+
+def test_jobs_expire_by_fractions_of_a_second(spark):
+    from quire.operators import jobs
+
+    table = spark.createDataFrame([("old", "2024-01-01T00:00:00"), ("even", "2024-01-01T00:00:00.25"), ("new", "2024-01-01T00:00:00.5")], "job_id string, created_at string")
+    now = F.lit("2024-01-01 00:01:00.25").cast("timestamp")
+    assert {r.job_id for r in jobs.expired(table, now, 60).collect()} == {"old"}
+
+
+def test_jobs_expired_as_its_sql(spark, tmp_path):
+    from quire.plans import registry
+
+    # 2: in the second of the limit; 7: a minute older, with an hour in between that New York's clocks skip
+    rows = [(2, "2024-03-09 23:30:00.9", "click"), (3, "2024-03-09 23:30:01", "click"), (4, "2024-03-10 23:30:00.2", "click"),
+            (5, "2024-03-09 01:00:00", None), (6, "2024-03-09 01:00:00", "view"), (7, "2024-03-09 23:29:00", "error"),
+            (10, "2024-03-09 01:00:00", "error"), (11, "2024-03-09 01:00:00", "error"), (-5, "2024-03-09 01:00:00", "error"), (8, None, "error")]
+    events = spark.createDataFrame(rows, "event_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in (zone, "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert {r.job_id for r in registry.jobs_expired(spark, str(tmp_path)).collect()} == {"2", "7"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    events.limit(0).write.parquet(str(tmp_path / "none" / "events.parquet"))
+    assert registry.jobs_expired(spark, str(tmp_path / "none")).count() == 0
